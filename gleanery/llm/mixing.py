@@ -137,6 +137,12 @@ def training_order(mixed: DataFrame) -> DataFrame:
     return mixed.orderBy(first.asc_nulls_last(), "doc_id", "size")
 
 
+def take(docs: DataFrame, **kw) -> DataFrame:
+    """Rows of docs as the mixture has them: one for each copy taken, range-sorted by position."""
+    copies = mix(docs, carry=True, **kw).select("_row", "doc_id", "size", F.explode("positions").alias("_position"))
+    return copies.orderBy("_position", "doc_id", "size").select("_row.*")
+
+
 def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by weights 5, 2, 1, in training order."""
     out = training_order(mix(table(spark, sf_dir, "documents")))

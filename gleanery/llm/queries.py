@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding, simhash, url_filter
+from . import mixing, pieces, quality, sharding, simhash, url_filter
 
 QUERIES = {
     "op2_url_rules": url_filter.op2_url_rules,
     "op3_curriculum_mix": mixing.op3_curriculum_mix,
     "op4_simhash": simhash.op4_simhash,
     "op7_feistel_shards": sharding.op7_feistel_shards,
+    "op9_nbest_pieces": pieces.op9_nbest_pieces,
     "op10_quality": quality.op10_quality,
 }
 ORACLE = {"op2_url_rules": url_filter.SQL}
