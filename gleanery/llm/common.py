@@ -27,12 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
+def written(df: DataFrame, codec: str = "zstd", partition_by: str | None = None) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors.
+    A column to partition by is read back last."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/gleanery-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(at)
-    out = spark.read.schema(df.schema).parquet(at)
+    df.write.option("compression", codec).parquet(at, partitionBy=partition_by)
+    columns = [c for c in df.columns if c != partition_by] + [partition_by] * bool(partition_by)
+    out = spark.read.schema(df.select(*columns).schema).parquet(at)
     out._gleanery_at = at
     return out
 

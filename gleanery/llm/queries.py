@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, pieces, quality, sharding, simhash, url_filter
+from . import chat, embeddings, language_model, media, mixing, pieces, quality, sharding, simhash, url_filter
 
 QUERIES = {
+    "op1_gru_score": language_model.op1_gru_score,
     "op2_url_rules": url_filter.op2_url_rules,
     "op3_curriculum_mix": mixing.op3_curriculum_mix,
     "op4_simhash": simhash.op4_simhash,
+    "op5_media_chunks": media.op5_media_chunks,
+    "op6_pca_tiles": embeddings.op6_pca_tiles,
     "op7_feistel_shards": sharding.op7_feistel_shards,
+    "op8_chat_masks": chat.op8_chat_masks,
     "op9_nbest_pieces": pieces.op9_nbest_pieces,
     "op10_quality": quality.op10_quality,
 }
-ORACLE = {"op2_url_rules": url_filter.SQL}
+ORACLE = {"op2_url_rules": url_filter.SQL, "op6_pca_tiles": embeddings.SQL, "op8_chat_masks": chat.SQL}
