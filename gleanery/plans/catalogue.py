@@ -1,4 +1,7 @@
 """Every query by name, with the SQL that it is held against."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import rows, texts
+
+_ALL = texts.QUERIES | rows.QUERIES
+QUERIES = {k: f for k, (f, _) in _ALL.items()}
+ORACLE = {k: sql for k, (_, sql) in _ALL.items() if sql}

@@ -1,0 +1,77 @@
+import pytest
+from pyspark.sql import functions as F
+
+from gleanery.functions import html, text
+from gleanery.operators import labels, profiles
+
+
+def one(spark, expr, *values):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, c string")
+    return [r[0] for r in df.orderBy("i").select(expr(F.col("c"))).collect()]
+
+
+def test_normalize(spark):
+    assert one(spark, text.normalize, None, "", "​a b\t\n c ", "  ") == ["", "", "a b c", ""]
+
+
+def test_repair(spark):
+    assert one(spark, text.repair_encoding, "InformÃ¡tica", "diseÃ±ar", "limpio", None, "Ã¡ 日", "Ã") == ["Informática", "diseñar", "limpio", None, "Ã¡ 日", "Ã"]
+
+
+def test_label_rule(spark):
+    names = ("Ingeniería CIVIL en Ejecución", "Ingeniería de Ejecución", "Ingeniería en Informática", None)
+    assert one(spark, text.label, *names) == ["Civil", "Ejecución", "Informática", "Informática"]
+
+
+def test_technicians(spark):
+    names = (" Técnico en Redes", "Tecnico", "Analista Programador", "Ingeniería para Técnicos de Nivel Superior", "Analistas", None)
+    assert one(spark, text.technician, *names) == [True, True, True, False, False, False]
+
+
+def test_numbers(spark):
+    values = ("67.86", "67,86 %", "0.6786", "1", "-50", "n/a", None)
+    assert one(spark, text.number, *values) == [67.86, 67.86, 0.6786, 1.0, -50.0, None, None]
+    assert one(spark, lambda c: F.round(text.fraction(text.number(c)), 6), *values) == [0.6786, 0.6786, 0.6786, 1.0, -0.5, None, None]
+
+
+def test_names(spark):
+    assert one(spark, text.column_name, " F1-Macro (%) ", "Precisión") == ["f1 macro", "precision"]
+    assert one(spark, text.slug, "Ejecución Civil") == ["ejecucion_civil"]
+    assert profiles.find_column(["Modelo", "F1 Macro (%)", "F1"], ["f1"]) == "F1"
+    assert profiles.find_column(["Modelo", "F1 Macro (%)"], ["f1"]) == "F1 Macro (%)"
+    assert profiles.find_column(["a"], ["b"], required=False) is None
+    with pytest.raises(ValueError):
+        profiles.find_column(["a"], ["b"])
+
+
+def test_tokens(spark):
+    assert one(spark, text.tokens, "La gestión, año 2_a x", None, "") == [["la", "gestión", "año", "2_a"], [], []]
+    assert one(spark, lambda c: text.grams(text.tokens(c)), "aa bb cc", "aa", "") == [["aa", "bb", "cc", "aa bb", "bb cc"], ["aa"], []]
+
+
+def test_clean(spark):
+    df = spark.createDataFrame([("Ver http://x.cl y a@b.cl: Diseñar sistemas 2024 en la Universidad",), (None,), ("la",)], "perfil_egreso string")
+    assert [r.perfil_limpio for r in labels.clean_profiles(df).collect()] == ["ver diseñar sistemas"]
+
+
+@pytest.mark.parametrize(
+    ("page", "selector", "want"),
+    [
+        ("<div id='x'><p>uno</p> dos</div>", "#x", ("uno dos", "selector")),
+        ("<h2>Perfil de Egreso</h2><p>a</p><ul><li>b</li></ul><h2>Otro</h2><p>c</p>", "-", ("a b", "priority")),
+        ("<h3>Campo laboral</h3><p>z</p>", "", ("z", "secondary")),
+        ("<div><h2>Perfil profesional</h2></div><div>lejos</div>", None, ("lejos", "priority")),
+        ("<p>nada</p>", ".falta", ("", "none")),
+        ("<h2>Perfil de egreso</h2><h2>Otro</h2>", "", ("", "none")),
+        (None, "p", ("", "none")),
+        ("<ul><li class='a b'>1</li><li>2</li></ul>", "ul > li.a.b, li:nth-child(2)", ("1 2", "selector")),
+        ("<a href='u'>t</a><a>v</a>", "a[href='u']", ("t", "selector")),
+    ],
+)
+def test_extract(page, selector, want):
+    assert html.extract(page, selector) == want
+
+
+def test_extract_column(spark):
+    df = spark.createDataFrame([("<h1>Sobre la carrera</h1><p>x​ y</p>", ""), (None, None)], "h string, s string")
+    assert [tuple(r.x) for r in df.select(html.extractor()("h", "s").alias("x")).collect()] == [("x y", "priority"), ("", "none")]
