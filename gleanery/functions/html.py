@@ -7,11 +7,12 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .constants import CONTENT_TAGS, FALLBACK_TAGS, PRIORITY_KEYWORDS, SECONDARY_KEYWORDS, STOP_TAGS, TITLE_TAGS
 
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
-SCHEMA = "text string, step string"
+SCHEMA = T.StructType([T.StructField("text", T.StringType()), T.StructField("step", T.StringType())])
 
 
 class Node:
@@ -187,6 +188,6 @@ def extractor(first=PRIORITY_KEYWORDS, second=SECONDARY_KEYWORDS):
     return f
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def page_text(html: pd.Series) -> pd.Series:
     return html.map(lambda h: text_of(parse(h)) if h else "")
