@@ -27,12 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame, codec: str = "zstd", partition_by: str | None = None) -> DataFrame:
+def written(df: DataFrame, level: int = 3, partition_by: str | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors.
     A column to partition by is read back last. The folder goes when the driver ends."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/gleanery-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(at, partitionBy=partition_by)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(at, partitionBy=partition_by)
     columns = [c for c in df.columns if c != partition_by] + [partition_by] * bool(partition_by)
     out = spark.read.schema(df.select(*columns).schema).parquet(at)
     path = spark._jvm.org.apache.hadoop.fs.Path(at)

@@ -123,8 +123,9 @@ def store(docs: DataFrame, listed: DataFrame, text_col: str) -> DataFrame:
     own = (F.col("key") == F.col("_key")) & (F.col("at") == F.col("_at"))
     recipes = flagged.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "n", "d", own.alias("own"), "shared"))).alias("recipe"))
 
-    # Squeezed for the way; the dictionary is a few texts, 96 kB at most.
-    some = "".join((r[0] or "")[:4096] for r in docs.select(text_col).limit(24).collect()).encode("utf-8", "surrogatepass")[:98304]
+    # Squeezed for the way; the dictionary is the starts of some texts, 384 kB at most. It bears on sizes alone.
+    starts = docs.select(F.substring(text_col, 1, 4096)).limit(200).collect()
+    some = "".join(r[0] or "" for r in starts).encode("utf-8", "surrogatepass")[: 384 << 10]
     words = docs.sparkSession.sparkContext.broadcast(some)
 
     def tools():
@@ -170,7 +171,7 @@ def store(docs: DataFrame, listed: DataFrame, text_col: str) -> DataFrame:
                     recipe = None
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(recipes, pa.list_(CHUNK_TYPE)), pa.array(blobs, pa.binary()), pa.array(complete, pa.bool_())], names=["key", "recipe", "blob", "complete"])
 
-    return written(map_arrow(both, keep, f"key binary, recipe array<{CHUNK}>, blob binary, complete boolean"), partition_by="complete")
+    return written(map_arrow(both, keep, f"key binary, recipe array<{CHUNK}>, blob binary, complete boolean"), level=9, partition_by="complete")
 
 
 FEATURES = "key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
