@@ -9,8 +9,9 @@ so a document of any length is scored whole, and gradients are cut at window edg
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import map_arrow, slices, table, words_of, written
 
 #: The network's words, and the words whose counts every task knows; the counts of others are joined.
-WORDS, KNOWN = 2048, 32768
-HIDDEN, CLASSES = 16, 30
+WORDS, KNOWN = 1024, 131072
+HIDDEN, CLASSES = 16, 24
 LANES, STEPS = 256, 16
 RATE = 0.15
 FOLDS, HELD = 7, 2
@@ -45,13 +46,24 @@ def class_bounds(counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     return np.r_[0, 1, starts, len(counts)]
 
 
+def exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """exp(logits - top), sums by row, and top: 0, or each row's largest logit where exp overflows or vanishes."""
+    e = np.exp(logits)
+    s = e @ np.ones(e.shape[1], e.dtype)
+    if s.max() < 1e37 and s.min() > 1e-30:
+        return e, s, 0.0
+    top = logits.max(axis=1)
+    e = np.exp(logits - top[:, None])
+    return e, e @ np.ones(e.shape[1], e.dtype), top
+
+
 class Model:
     """Weights as float32 arrays; `flat` lists them. Start: the words' and classes' frequencies."""
 
     def __init__(self, counts: np.ndarray, hidden: int = HIDDEN, seed: int = 1):
         rng, v = np.random.default_rng(seed), len(counts)
         self.hidden, self.bounds = hidden, class_bounds(counts)
-        self.class_of = (np.searchsorted(self.bounds, np.arange(v), "right") - 1).astype(np.int32)
+        self.class_of = (np.searchsorted(self.bounds, np.arange(v), "right") - 1).astype(np.int16)
         small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
         c = np.maximum(counts.astype(np.float64), 0.5)
         mass = np.add.reduceat(c, self.bounds[:-1])
@@ -81,25 +93,30 @@ class Model:
             h = h * keep[t][:, None]
             a = h @ u
             g = gates[t]
-            zr = 1 / (1 + np.exp(-(g[:, : 2 * n] + a[:, : 2 * n])))
+            zr = g[:, : 2 * n] + a[:, : 2 * n]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
             z, r, an = zr[:, :n], zr[:, n:], a[:, 2 * n :]
-            new = 2 / (1 + np.exp(-2 * (g[:, 2 * n :] + r * an))) - 1
+            new = np.tanh(g[:, 2 * n :] + r * an)
             if trace is not None:
                 trace.append((h, z, r, an, new))
-            h = new + z * (h - new)
-            out[t] = h
+            h = np.subtract(h, new, out=out[t])
+            h *= z
+            h += new
         return out, h
 
     def log_probs(self, states: np.ndarray, targets: np.ndarray, back: bool = False):
         """Natural logs of the targets' probabilities; with back, the gradients of their negative sum as well."""
         cls, every = self.class_of[targets], np.arange(len(targets))
-        logits = states @ self.wc + self.bc
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        s = e.sum(axis=1)
-        out = logits[every, cls] - np.log(s)
+        logits = states @ self.wc
+        logits += self.bc
+        picked = logits[every, cls]
+        e, s, top = exponentials(logits)
+        out = picked - top - np.log(s)
         if back:
-            d = e / s[:, None]
+            d = np.multiply(e, (1 / s)[:, None], out=e)
             d[every, cls] -= 1
             dh, grads = d @ self.wc.T, [states.T @ d, d.sum(axis=0), []]
         order = np.argsort(cls, kind="stable")
@@ -110,15 +127,14 @@ class Model:
             if hi - lo < 2 or not len(rows):
                 continue
             x, w = states[rows], self.ww[lo:hi]
-            logits = x @ w.T + self.bw[lo:hi]
-            logits -= logits.max(axis=1, keepdims=True)
-            at, which = np.arange(len(rows)), targets[rows] - lo
+            logits = x @ w.T
+            logits += self.bw[lo:hi]
+            at, which = every[: len(rows)], targets[rows] - lo
             picked = logits[at, which]
-            e = np.exp(logits, out=logits)
-            s = e.sum(axis=1)
-            out[rows] += picked - np.log(s)
+            e, s, top = exponentials(logits)
+            out[rows] += picked - top - np.log(s)
             if back:
-                e /= s[:, None]
+                e *= (1 / s)[:, None]
                 e[at, which] -= 1
                 dh[rows] += e @ w
                 grads[2].append((lo, hi, e.T @ x, e.sum(axis=0)))
@@ -169,65 +185,53 @@ class Trainer:
         for lo, hi, gw, gb in words:
             self.step(m.ww[lo:hi], s[4][lo:hi], gw)
             self.step(m.bw[lo:hi], s[5][lo:hi], gb)
-        ids = inputs.ravel()
+        ids = inputs.ravel().astype(np.int16)  # as _ids() has them: 16 bits sort by radix
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
         starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
         grad = np.add.reduceat(d_in.reshape(-1, 3 * n)[order], starts, axis=0)
-        rows = ids[starts]
+        rows = ids[starts].astype(np.int64)
         sq = s[0][rows] + grad * grad
         s[0][rows] = sq
         m.x[rows] -= self.rate * grad / np.sqrt(sq)
         return last, float(logs.sum())
 
 
-def windows(docs: Iterable[np.ndarray], lanes: int = LANES, steps: int = STEPS) -> Iterator[tuple]:
-    """(inputs, targets, keep, use, doc, alive) for each window of documents' ids, in lanes.
+def windows(docs: list[np.ndarray], lanes: int = LANES, steps: int = STEPS) -> Iterator[tuple]:
+    """(inputs, targets, keep, use, doc, alive) for each window over a batch of documents' ids, steps by lanes.
 
-    A lane takes the next document when it has less than a window left; with none left, lanes that are done are
-    closed, and alive lists those that stay since the last window. doc: the document's number for each place.
+    The longest document goes to the shortest lane first. A lane's documents lie one after the other in memory, so a window
+    is one gather; lanes that are done are closed, and alive lists those that stay since the last window. doc: the
+    document's number for each place. State carried along a lane starts anew where keep is 0.
     """
-    docs = iter(docs)
-    queues: list[list] = [[] for _ in range(lanes)]  # parts: ids, targets, keep, doc
-    left = [0] * lanes
-    alive, number, more = list(range(lanes)), 0, True
-    while True:
-        for lane in alive:
-            while more and left[lane] < steps:
-                ids = next(docs, None)
-                if ids is None:
-                    more = False
-                    break
-                keep = np.ones(len(ids), np.float32)
-                keep[0] = 0
-                queues[lane].append([np.r_[END, ids[:-1]], ids, keep, number, 0])
-                left[lane] += len(ids)
-                number += 1
-        stay = [i for i, lane in enumerate(alive) if left[lane]]
-        alive = [alive[i] for i in stay]
-        if not alive:
-            return
-        b = len(alive)
-        inputs, targets = np.zeros((b, steps), np.int32), np.zeros((b, steps), np.int32)
-        keep, use, doc = np.zeros((b, steps), np.float32), np.zeros((b, steps), bool), np.zeros((b, steps), np.int64)
-        for i, lane in enumerate(alive):
-            at, queue = 0, queues[lane]
-            while queue and at < steps:
-                part = queue[0]
-                k = part[4]
-                n = min(steps - at, len(part[1]) - k)
-                inputs[i, at : at + n] = part[0][k : k + n]
-                targets[i, at : at + n] = part[1][k : k + n]
-                keep[i, at : at + n] = part[2][k : k + n]
-                doc[i, at : at + n] = part[3]
-                use[i, at : at + n] = True
-                at += n
-                if k + n == len(part[1]):
-                    queue.pop(0)
-                else:
-                    part[4] = k + n
-            left[lane] -= at
-        yield (*(np.ascontiguousarray(a.T) for a in (inputs, targets, keep, use, doc)), np.array(stay))
+    sizes = np.array([len(d) for d in docs], np.int64)
+    heap = [(0, i) for i in range(min(lanes, len(docs)))]
+    own: list[list[int]] = [[] for _ in heap]
+    for d in np.argsort(-sizes, kind="stable").tolist():
+        load, lane = heap[0]
+        heapq.heapreplace(heap, (load + int(sizes[d]), lane))
+        own[lane].append(d)
+    order = np.array([d for lane in own for d in lane], np.int64)
+    if not len(order):
+        return
+    targets = np.concatenate([docs[d] for d in order])
+    first = np.cumsum(sizes[order]) - sizes[order]
+    inputs = np.r_[np.int32(END), targets[:-1]]
+    keep = np.ones(len(targets), np.float32)
+    inputs[first], keep[first] = END, 0
+    doc = np.repeat(order, sizes[order])
+    ends = np.cumsum([sizes[lane].sum() for lane in own])
+    at, alive = ends - [sizes[lane].sum() for lane in own], np.arange(len(own))
+    step = np.arange(steps)[:, None]
+    last = len(targets) - 1
+    while len(at):
+        where = at + step
+        use = where < ends
+        where = np.minimum(where, last)
+        yield inputs[where], targets[where], keep[where], use, doc[where], alive
+        at = at + steps
+        alive = np.flatnonzero(at < ends)
+        at, ends = at[alive], ends[alive]
 
 
 class Vocabulary:
@@ -274,6 +278,19 @@ def count_words(texts: DataFrame) -> DataFrame:
     return map_arrow(texts.select("text"), count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def most_frequent(counts: DataFrame, n: int) -> list:
+    """The n most frequent (token, c), ties by token. A histogram of counts in some thousand steps shows what can't be among
+    them, so that tasks don't send n rows each."""
+    step = F.floor(F.log(F.col("c").cast("double")) * 64).alias("s")
+    sizes = counts.groupBy(step).agg(F.count("*").alias("k")).orderBy(F.desc("s")).collect()
+    low, seen = 0, 0
+    for s, k in sizes:
+        low, seen = s, seen + k
+        if seen >= n:
+            break
+    return counts.where(F.floor(F.log(F.col("c").cast("double")) * 64) >= low).orderBy(F.desc("c"), "token").limit(n).collect()
+
+
 def summed(parts: DataFrame) -> np.ndarray:
     """The weighted mean of models, given as (block, weight, v) of float32 blocks: first sums among a few tasks each,
     then of those, so no task meets all models' blocks but the driver one model."""
@@ -298,32 +315,66 @@ def summed(parts: DataFrame) -> np.ndarray:
 BLOCK = 8192
 
 
-def learn(texts: DataFrame, vocabulary: Vocabulary, rounds: tuple = ROUNDS) -> np.ndarray:
-    """A trained model's vector from all of texts (text, slice in 0..15): each round's tasks start from the mean of the
+def prepared(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """A written table of every row (doc_id, text, held_out, slice), tokenised once: the network's ids with the end (16-bit), what
+    the known words add up to, and the others with their numbers."""
+    known = rows.sparkSession.sparkContext.broadcast(vocabulary)
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    rare_type = pa.list_(pa.struct([("token", pa.binary()), ("times", pa.int32())]))
+
+    def prepare(batches: Iterator[pa.RecordBatch]):
+        words = known.value
+        logs = np.log10(words.counts + 1.0)
+        end = np.log10(words.end_count + 1.0)
+        for b in slices(batches, "text"):
+            out = []
+            for text in b.column("text").to_pylist():
+                tokens = words_of(text)
+                p = words.places(tokens)
+                where = np.flatnonzero(p < 0).tolist()
+                seen = Counter([tokens[i] for i in where])
+                other = p[(p >= words.net) | (p < 0)]  # -1 reads the last count, 0
+                out.append((
+                    key_of(text), len(p) + 1, len(p) - len(where) + (words.end_count > 0), float(logs[p].sum()) + end, float(logs[other].sum()), len(other),
+                    words.ids(p).astype("<i2").tobytes(), [{"token": w, "times": n} for w, n in seen.items()],
+                ))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.binary(), rare_type)
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), b.column("slice"), *columns], names=["doc_id", "held_out", "slice", *NAMES])
+
+    return written(map_arrow(rows, prepare, f"doc_id {id_type}, held_out boolean, slice int, h long, n_tokens long, known long, logs double, out_logs double, n_out long, ids binary, rare array<struct<token: binary, times: int>>"))
+
+
+NAMES = ("h", "n_tokens", "known", "logs", "out_logs", "n_out", "ids", "rare")
+MAIN = ("doc_id", "held_out", "h", "n_tokens", "known", "logs", "out_logs", "n_out")
+#: Bytes of ids that go through the network as one batch.
+BATCH = 3 << 20
+
+
+def _ids(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<i2").astype(np.int32) for x in batch.column("ids").to_pylist()]
+
+
+def learn(table_: DataFrame, vocabulary: Vocabulary, rounds: tuple = ROUNDS) -> np.ndarray:
+    """A trained model's vector from all of a table (ids, slice in 0..15): each round's tasks start from the mean of the
     last one's models and go once over the documents of their slices."""
-    spark = texts.sparkSession
+    spark = table_.sparkSession
     model = Model(vocabulary.net_counts)
-    known, first = spark.sparkContext.broadcast(vocabulary), 0
+    counts, first = vocabulary.net_counts, 0
     for share in rounds:
-        own = texts.where((F.col("slice") >= first) & (F.col("slice") < first + share)).select("text")
+        own = table_.where((F.col("slice") >= first) & (F.col("slice") < first + share)).select("ids")
         first += share
         start = spark.sparkContext.broadcast(model.vector())
 
         def work(batches: Iterator[pa.RecordBatch], start=start):
-            words = known.value
-            own_model = Model(words.net_counts).load(start.value)
+            own_model = Model(counts).load(start.value)
             trainer, tokens = Trainer(own_model), 0
-
-            def ids():
-                for b in slices(batches, "text"):
-                    found = [words.ids(words.places(words_of(x))) for x in b.column("text").to_pylist()]
-                    yield from sorted(found, key=len, reverse=True)
-
-            h = np.zeros((LANES, own_model.hidden), np.float32)
             with np.errstate(over="ignore"):
-                for inputs, targets, keep, use, _, stay in windows(ids()):
-                    h, _ = trainer.window(inputs, targets, keep, use, h[stay])
-                    tokens += int(use.sum())
+                for b in slices(batches, "ids", BATCH):
+                    h = np.zeros((LANES, own_model.hidden), np.float32)
+                    for inputs, targets, keep, use, _, stay in windows(_ids(b)):
+                        h, _ = trainer.window(inputs, targets, keep, use, h[stay])
+                        tokens += int(use.sum())
             if tokens:
                 v = own_model.vector()
                 blocks = [v[i : i + BLOCK].tobytes() for i in range(0, len(v), BLOCK)]
@@ -348,66 +399,38 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
-    train = rows.where(~F.col("held_out")).select("text", F.pmod(F.xxhash64("doc_id"), F.lit(sum(ROUNDS))).alias("slice"))
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(sum(ROUNDS))).cast("int"))
+    train = rows.where(~F.col("held_out")).select("text")
     counts = written(count_words(train))
     n, v, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("token") == F.lit(END_TOKEN), F.col("c"))), F.lit(0))).first()
-    # Bounded: KNOWN words.
-    top = counts.where(F.col("token") != F.lit(END_TOKEN)).orderBy(F.desc("c"), "token").limit(KNOWN).collect()
+    top = most_frequent(counts.where(F.col("token") != F.lit(END_TOKEN)), KNOWN)
     tokens, c = [bytes(r["token"]) for r in top], [r["c"] for r in top]
     inside = sum(c[:WORDS])
     vocabulary = Vocabulary(tokens, c, ends, n - ends - inside)
     out_types = v - (ends > 0) - vocabulary.net
     out_total = float(n - ends - inside + out_types + 1)
-    vector = learn(train, vocabulary)
-    known, weights = spark.sparkContext.broadcast(vocabulary), spark.sparkContext.broadcast(vector)
+    ready = prepared(rows, vocabulary)
+    net_counts = vocabulary.net_counts
+    weights = spark.sparkContext.broadcast(learn(ready.where(~F.col("held_out")), vocabulary))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def scored(batches: Iterator[pa.RecordBatch]):
-        words, model = known.value, Model(known.value.net_counts).load(weights.value)
-        logs = np.log10(words.counts + 1.0)
-        for b in slices(batches, "text", 8 << 20):
-            texts = b.column("text").to_pylist()
-            place = [words.places(words_of(x)) for x in texts]
-            order = sorted(range(len(place)), key=lambda i: -len(place[i]))
-            total = np.zeros(len(place))
+        model = Model(net_counts).load(weights.value)
+        for b in slices(batches, "ids", BATCH):
+            total = np.zeros(b.num_rows)
             h = np.zeros((LANES, model.hidden), np.float32)
             with np.errstate(over="ignore"):
-                for inputs, targets, keep, use, doc, stay in windows(words.ids(place[i]) for i in order):
+                for inputs, targets, keep, use, doc, stay in windows(_ids(b)):
                     states, h = model.run(inputs, keep, h[stay])
                     chosen = use.ravel()
                     found = model.log_probs(states.reshape(-1, model.hidden)[chosen], targets.ravel()[chosen])
-                    total += np.bincount(doc.ravel()[chosen], found, len(place))
-            net = np.empty(len(place))
-            net[order] = total / np.log(10)
-            known_out = [p[(p >= words.net) | (p < 0)] for p in place]  # -1 reads the last count, 0
-            columns = [
-                pa.array([key_of(x) for x in texts], pa.int64()),
-                pa.array([len(p) + 1 for p in place], pa.int64()),
-                pa.array([int((p >= 0).sum()) + (words.end_count > 0) for p in place], pa.int64()),
-                pa.array([float(logs[p].sum()) + np.log10(words.end_count + 1.0) for p in place]),
-                pa.array(net),
-                pa.array([float(logs[p].sum()) for p in known_out]),
-                pa.array([len(p) for p in known_out], pa.int64()),
-            ]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), *columns], names=["doc_id", "held_out", "h", "n_tokens", "known", "logs", "net", "out_logs", "n_out"])
-
-    def rare(batches: Iterator[pa.RecordBatch]):
-        place = known.value.place
-        for b in slices(batches, "text", 2 << 20):
-            ids, keys, words, times = [], [], [], []
-            for i, text in enumerate(b.column("text").to_pylist()):
-                seen = Counter(w for w in words_of(text) if w not in place)
-                if seen:
-                    words.extend(seen)
-                    times.extend(seen.values())
-                    ids.extend(repeat(i, len(seen)))
-                    keys.extend(repeat(key_of(text), len(seen)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(keys, pa.int64()), pa.array(words, pa.binary()), pa.array(times, pa.int32())], names=["doc_id", "h", "token", "times"])
-
-    main = map_arrow(rows, scored, f"doc_id {id_type}, held_out boolean, h long, n_tokens long, known long, logs double, net double, out_logs double, n_out long")
+                    total += np.bincount(doc.ravel()[chosen], found, len(total))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in MAIN), pa.array(total / np.log(10))], names=[*MAIN, "net"])
+
+    main = map_arrow(ready.select(*MAIN, "ids"), scored, f"doc_id {id_type}, held_out boolean, h long, n_tokens long, known long, logs double, out_logs double, n_out long, net double")
     # Repeated rows count once here, and as often as they occur at the end.
     main = main.groupBy("doc_id", "h").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("held_out", "n_tokens", "known", "logs", "net", "out_logs", "n_out")))
-    rest = map_arrow(rows.select("doc_id", "text"), rare, f"doc_id {id_type}, h long, token binary, times int").join(counts, "token")
+    rest = ready.select("doc_id", "h", F.explode("rare").alias("r")).select("doc_id", "h", "r.token", "r.times").join(counts, "token")
     rest = rest.groupBy("doc_id", "h").agg(F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10(F.col("c") + F.lit(1.0))).alias("rare_logs"))
     rest = rest.withColumnsRenamed({"doc_id": "_d", "h": "_h"})
     both = main.join(rest, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h")), "left")
