@@ -30,7 +30,7 @@ PAIR = np.uint64(0x9E3779B97F4A7C15)
 class Hasher:
     """Texts to (index, value) arrays. The memo of word hashes is emptied when it is full."""
 
-    def __init__(self, bits: int = BITS, memo: int = 1 << 20):
+    def __init__(self, bits: int = BITS, memo: int = 1 << 17):
         self.shift, self.memo, self.full = np.uint64(64 - bits), {}, memo
 
     def hashes(self, words: list[bytes]) -> np.ndarray:
