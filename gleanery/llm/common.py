@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII blanks; the same set that bytes.split() splits at.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes that go to or come from Python at a time, unless a row has more.
+BATCH_BYTES = 4 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -77,6 +79,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
 
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow() with batches of a bounded number of bytes; the setting stays, as the frame runs later."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(f, schema)
 
 
