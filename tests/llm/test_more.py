@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gleanery.llm import chat, embeddings, language_model, queries, url_filter
+from gleanery.llm import chat, embeddings, language_model, quality, queries, url_filter
 
 
 def as_counter(rows):
@@ -207,7 +207,7 @@ def test_windows_carry_every_token_once():
     docs = [np.r_[rng.integers(2, 9, n), 0].astype(np.int32) for n in (1, 50, 3, 7, 200, 2, 9)]
     seen = {i: [] for i in range(len(docs))}
     lanes = list(range(3))
-    for inputs, targets, keep, use, doc, stay in language_model.windows(iter(docs), lanes=3, steps=4):
+    for inputs, targets, keep, use, doc, stay in language_model.windows(docs, lanes=3, steps=4):
         lanes = [lanes[i] for i in stay]
         for lane in range(len(lanes)):
             for t in range(4):
@@ -257,6 +257,49 @@ def test_pipeline(spark, data):
     assert as_counter(docs.select("doc_id", "n_pieces").collect()) == as_counter(corpus_pipeline.run(spark, data).select("doc_id", "n_pieces").collect())
 
 
+def test_pipeline_against_brute_force(spark):
+    """Each stage on its own input, in plain Python."""
+    from tests.llm.test_rows import fill, fingerprint, groups, model_of
+    from tests.llm.test_rows import words as words_of
+
+    data = "/root/testdata/sf0.001"
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    docs = spark.read.parquet(f"{data}/documents.parquet").cache()
+    weights = quality.train(docs, labels)
+    hasher = quality.Hasher()
+
+    def good(text):
+        index, value = hasher(text)
+        return quality.sigmoid(weights[index] @ value) >= 0.3
+
+    kept = corpus_pipeline.keep_quality(spark, docs, data).cache()
+    assert as_counter(kept.collect()) == as_counter(r for r in docs.collect() if good(r.text))
+    rows = kept.collect()
+    root = groups([fingerprint(r.text) for r in rows], 4)
+    least = {}
+    for r, g in zip(rows, root, strict=True):
+        least[g] = min(least.get(g, r.doc_id), r.doc_id)
+    alone = corpus_pipeline.drop_copies(spark, kept, data).cache()
+    assert as_counter(alone.collect()) == as_counter(r for r in rows if r.doc_id in set(least.values()))
+    rows = alone.collect()
+    size = {r.doc_id: len(words_of(r.text)) for r in rows}
+    sizes = Counter()
+    for r in rows:
+        sizes[r.source] += size[r.doc_id]
+    goal = fill(sizes, (5, 2, 1), 3)
+    mixed = corpus_pipeline.mix_sources(spark, alone, data).cache()
+    copies = Counter(r.doc_id for r in mixed.collect())
+    assert max(copies.values()) <= 3 and {tuple(r) for r in mixed.collect()} <= {tuple(r) for r in rows}
+    for s in sizes:
+        own = [r for r in rows if r.source == s]
+        low = [math.floor(goal[s] / sizes[s])]
+        assert all(copies[r.doc_id] - low[0] in (0, 1) for r in own if size[r.doc_id])
+        assert abs(sum(copies[r.doc_id] * size[r.doc_id] for r in own) - goal[s]) <= max(size[r.doc_id] for r in own) / 2
+    model, text = model_of(), {r.doc_id: r.text for r in rows}
+    out = corpus_pipeline.encode(spark, mixed, data).collect()
+    assert Counter(r.doc_id for r in out) == copies and all(model.decode(r.ids) == text[r.doc_id] for r in out)
+
+
 def test_pipeline_on_odd_rows(spark, odd, data):
     docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
     for d in (docs, docs.limit(0)):

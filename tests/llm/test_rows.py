@@ -181,12 +181,16 @@ def test_links_join_what_brute_force_joins(spark, block):
 # --- pieces
 
 
-@pytest.fixture(scope="module")
-def model():
+def model_of():
     with open(pieces.MODEL, "rb") as f:
         return pieces.Pieces(f.read())
 
 
+@pytest.fixture(scope="module")
+def model():
+    return model_of()
+
+
 def all_paths(model, s):
     out = []
 
