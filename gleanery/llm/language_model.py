@@ -24,8 +24,8 @@ from .common import map_arrow, slices, table, words_of, written
 
 #: The network's words, and the words whose counts every task knows; the counts of others are joined.
 WORDS, KNOWN = 1024, 131072
-HIDDEN, CLASSES = 16, 24
-LANES, STEPS = 256, 16
+HIDDEN, CLASSES = 12, 24
+LANES, STEPS, TOKENS_A_LANE = 384, 16, 4096
 RATE = 0.15
 FOLDS, HELD = 7, 2
 #: Shares of the training documents, by sixteenths, that successive rounds learn from; models are averaged after each.
@@ -320,26 +320,30 @@ def prepared(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     the known words add up to, and the others with their numbers."""
     known = rows.sparkSession.sparkContext.broadcast(vocabulary)
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    rare_type = pa.list_(pa.struct([("token", pa.binary()), ("times", pa.int32())]))
 
     def prepare(batches: Iterator[pa.RecordBatch]):
         words = known.value
         logs = np.log10(words.counts + 1.0)
         end = np.log10(words.end_count + 1.0)
         for b in slices(batches, "text"):
-            out = []
+            out, rare, times, ends = [], [], [], [0]
             for text in b.column("text").to_pylist():
                 tokens = words_of(text)
                 p = words.places(tokens)
                 where = np.flatnonzero(p < 0).tolist()
                 seen = Counter([tokens[i] for i in where])
+                rare.extend(seen)
+                times.extend(seen.values())
+                ends.append(len(rare))
                 other = p[(p >= words.net) | (p < 0)]  # -1 reads the last count, 0
                 out.append((
                     key_of(text), len(p) + 1, len(p) - len(where) + (words.end_count > 0), float(logs[p].sum()) + end, float(logs[other].sum()), len(other),
-                    words.ids(p).astype("<i2").tobytes(), [{"token": w, "times": n} for w, n in seen.items()],
+                    words.ids(p).astype("<i2").tobytes(),
                 ))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.binary(), rare_type)
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.binary())
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
+            pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int32())], names=["token", "times"])
+            columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), b.column("slice"), *columns], names=["doc_id", "held_out", "slice", *NAMES])
 
     return written(map_arrow(rows, prepare, f"doc_id {id_type}, held_out boolean, slice int, h long, n_tokens long, known long, logs double, out_logs double, n_out long, ids binary, rare array<struct<token: binary, times: int>>"))
@@ -372,7 +376,10 @@ def learn(table_: DataFrame, vocabulary: Vocabulary, rounds: tuple = ROUNDS) ->
             with np.errstate(over="ignore"):
                 for b in slices(batches, "ids", BATCH):
                     h = np.zeros((LANES, own_model.hidden), np.float32)
-                    for inputs, targets, keep, use, _, stay in windows(_ids(b)):
+                    found = _ids(b)
+                    # A lane has some hundred windows to learn from: small batches have fewer lanes.
+                    lanes = min(LANES, max(32, sum(map(len, found)) // TOKENS_A_LANE))
+                    for inputs, targets, keep, use, _, stay in windows(found, lanes):
                         h, _ = trainer.window(inputs, targets, keep, use, h[stay])
                         tokens += int(use.sum())
             if tokens:
