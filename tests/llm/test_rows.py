@@ -238,8 +238,9 @@ def test_chunks_follow_content():
     ends = media.cuts(data)
     sizes = np.diff([0, *ends])
     assert ends[-1] == len(data) and max(sizes) <= media.MOST and min(sizes[:-1]) >= media.LEAST
-    own = lambda d: {d[a:b] for a, b in zip([0, *(e := media.cuts(d))], e)}
-    assert len(own(data) & own(b"in front of it" + data)) > len(ends) / 2
+    own = lambda d, e: {d[a:b] for a, b in zip([0, *e], e)}
+    moved = b"in front of it" + data
+    assert len(own(data, ends) & own(moved, media.cuts(moved))) > len(ends) / 2
 
 
 def test_media(spark, odd, odd_rows, none):
