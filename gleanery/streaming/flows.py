@@ -18,5 +18,6 @@ def clean(stream: DataFrame, text_col: str, stop_words=()) -> DataFrame:
 def class_counts(stream: DataFrame, time_col: str, class_col: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Rows by class and window; what comes later than `late` is dropped, and so is the state it would need."""
     at = F.window(F.col(time_col), window)
+    stream = stream.withColumn(time_col, F.col(time_col).cast("timestamp"))  # watermarks don't take times without a zone
     out = stream.withWatermark(time_col, late).groupBy(at.alias("w"), F.col(class_col).alias("cls")).agg(F.count("*").alias("n"))
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "cls", "n")
