@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import map_arrow, slices, table, words_of, written
 
 #: The network's words, and the words whose counts every task knows; the counts of others are joined.
-WORDS, KNOWN = 1024, 131072
-HIDDEN, CLASSES = 12, 24
+WORDS, KNOWN = 2048, 131072
+HIDDEN, CLASSES = 16, 30
 LANES, STEPS, TOKENS_A_LANE = 384, 16, 4096
 RATE = 0.15
 FOLDS, HELD = 7, 2

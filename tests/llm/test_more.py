@@ -241,6 +241,15 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     assert got[0] > got[1] + 0.15 * got[2]
 
 
+def test_network_is_whole():
+    """2,048 words of their own, 30 classes and 16 units."""
+    tokens, c = [b"w%d" % i for i in range(3000)], list(range(4000, 1000, -1))
+    vocabulary = language_model.Vocabulary(tokens, c, 10, sum(c[2048:]))
+    m = language_model.Model(vocabulary.net_counts)
+    assert len(vocabulary.net_counts) == 2050 and vocabulary.ids(vocabulary.places([b"w2047", b"w2048"])).tolist() == [2049, 1, 0]
+    assert m.u.shape == (16, 48) and len(m.bounds) - 1 == 32
+
+
 # --- pipeline
 
 
