@@ -25,7 +25,8 @@ from .common import map_arrow, slices, table, words_of, written
 #: The network's words, and the words whose counts every task knows; the counts of others are joined.
 WORDS, KNOWN = 2048, 131072
 HIDDEN, CLASSES = 16, 30
-LANES, STEPS, TOKENS_A_LANE = 384, 16, 4096
+#: One lane count at every size of input: it sets how many steps a token the model learns in.
+LANES, STEPS = 256, 16
 RATE = 0.15
 FOLDS, HELD = 7, 2
 #: Shares of the training documents, by sixteenths, that successive rounds learn from; models are averaged after each.
@@ -376,10 +377,7 @@ def learn(table_: DataFrame, vocabulary: Vocabulary, rounds: tuple = ROUNDS) ->
             with np.errstate(over="ignore"):
                 for b in slices(batches, "ids", BATCH):
                     h = np.zeros((LANES, own_model.hidden), np.float32)
-                    found = _ids(b)
-                    # A lane has some hundred windows to learn from: small batches have fewer lanes.
-                    lanes = min(LANES, max(32, sum(map(len, found)) // TOKENS_A_LANE))
-                    for inputs, targets, keep, use, _, stay in windows(found, lanes):
+                    for inputs, targets, keep, use, _, stay in windows(_ids(b)):
                         h, _ = trainer.window(inputs, targets, keep, use, h[stay])
                         tokens += int(use.sum())
             if tokens:

@@ -250,6 +250,25 @@ def test_network_is_whole():
     assert m.u.shape == (16, 48) and len(m.bounds) - 1 == 32
 
 
+@pytest.mark.parametrize("size", [5, 400])
+def test_lanes_do_not_depend_on_the_size(spark, monkeypatch, size):
+    """600 documents of either size train side by side in as many lanes."""
+    seen, own = [], language_model.windows
+
+    def spy(docs, *a, **k):
+        for w in own(docs, *a, **k):
+            seen.append(len(w[5]))
+            yield w
+
+    monkeypatch.setattr(language_model, "windows", spy)
+    monkeypatch.setattr(language_model, "map_arrow", lambda df, f, schema: spark.createDataFrame([b for x in [df.toArrow().to_batches()] for b in f(iter(x))][0].to_pandas(), schema))
+    rng = np.random.default_rng(1)
+    vocabulary = language_model.Vocabulary([b"w%d" % i for i in range(20)], list(range(40, 20, -1)), 10, 0)
+    table = spark.createDataFrame([(bytearray(rng.integers(0, 20, size).astype("<i2").tobytes()), 0) for _ in range(600)], "ids binary, slice int").coalesce(1)
+    language_model.learn(table, vocabulary, (1,))
+    assert max(seen) == 256
+
+
 # --- pipeline
 
 
