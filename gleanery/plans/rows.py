@@ -278,7 +278,7 @@ def holdout_models(spark, sf_dir):
 def consolidated_report(spark, sf_dir):
     cells, sizes = scored(spark, sf_dir)
     totals = profiles.with_total(table(spark, sf_dir, "documents"), "lang").withColumnRenamed("lang", "cls")
-    models = metrics.fold_summary(cross_validated(spark, sf_dir, ("lda",)), ["model"])
+    models = metrics.fold_summary(cross_validated(spark, sf_dir, classifiers.NAMES), ["model"])
     best = report.winner(models.withColumnRenamed("f1_macro_mean", "f1_macro"), "f1_macro")
     test = homogeneity.permutation_test(*permutation_parts(spark, sf_dir))
     return report.consolidated(totals, best, test, report.terms_by_class(keyness.top_terms(cells, sizes)))
