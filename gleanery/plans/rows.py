@@ -238,11 +238,7 @@ def lda_projection(spark, sf_dir):
     return classifiers.discriminant_axes(embedded(spark, sf_dir), 64)
 
 
-#: Models of the query below; the others take minutes and are run by their names from classifiers.
-QUICK = ("lda", "knn", "naive_bayes")
-
-
-def cross_validated(spark, sf_dir, names=QUICK, n_folds: int = 5) -> DataFrame:
+def cross_validated(spark, sf_dir, names=classifiers.NAMES, n_folds: int = 5) -> DataFrame:
     rows = embedded(spark, sf_dir).cache()
     parts = folds.stratified(rows.withColumn("at", F.col("id")), ["id"], "c", "at", n_folds).select("id", "fold")
     out = None
@@ -262,14 +258,12 @@ SLOW = ("logistic_regression", "decision_tree", "mlp", "random_forest")
 
 
 def holdout_models(spark, sf_dir):
-    """Measures of the slower models on the first fold, trained on the others."""
+    """Measures of the slower models on the first fold, trained on the others, oversampled."""
     rows = embedded(spark, sf_dir).cache()
     parts = folds.stratified(rows.withColumn("at", F.col("id")), ["id"], "c", "at").select("id", "fold")
-    both = rows.join(parts, "id").cache()
-    train, test = both.where("fold <> 0").select("id", "c", "v").cache(), both.where("fold = 0").select("id", "c", "v").cache()
     out = None
     for name in SLOW:
-        p = classifiers.fit_predict(name, train, test, 64, rows.select("c").distinct().count()).select(F.col("c").alias("actual"), "predicted", F.lit(name).alias("model"))
+        p = classifiers.out_of_fold(rows, parts, name, 1).select(F.col("c").alias("actual"), "predicted", F.lit(name).alias("model"))
         one = metrics.scores(metrics.by_class(metrics.confusion(p, ["model"]), ["model"]), ["model"])
         out = one if out is None else out.unionByName(one)
     return _rounded(out)
@@ -278,7 +272,7 @@ def holdout_models(spark, sf_dir):
 def consolidated_report(spark, sf_dir):
     cells, sizes = scored(spark, sf_dir)
     totals = profiles.with_total(table(spark, sf_dir, "documents"), "lang").withColumnRenamed("lang", "cls")
-    models = metrics.fold_summary(cross_validated(spark, sf_dir, classifiers.NAMES), ["model"])
+    models = metrics.fold_summary(cross_validated(spark, sf_dir), ["model"])
     best = report.winner(models.withColumnRenamed("f1_macro_mean", "f1_macro"), "f1_macro")
     test = homogeneity.permutation_test(*permutation_parts(spark, sf_dir))
     return report.consolidated(totals, best, test, report.terms_by_class(keyness.top_terms(cells, sizes)))
