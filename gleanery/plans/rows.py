@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import NEIGHBOURS, SEED
 from ..functions.html import extractor, page_text
 from ..functions.text import annotation, label, technician
-from ..operators import classifiers, folds, metrics, profiles, report
+from ..operators import classifiers, folds, metrics, profiles, report, vectors
 from .texts import permutation_parts, scored, table
 from ..operators import homogeneity, keyness
 
@@ -253,6 +253,16 @@ def benchmark_models(spark, sf_dir):
     return _rounded(metrics.ranking(metrics.fold_summary(cross_validated(spark, sf_dir), ["model"])))
 
 
+def benchmark_texts(spark, sf_dir, names=classifiers.NAMES, n_folds: int = 5):
+    """The ranking of all models over the documents by language, with a vocabulary for each fold."""
+    docs = classifiers.coded(vectors.documents(table(spark, sf_dir, "documents"), "doc_id", "lang", "text").withColumn("id", F.col("id").cast("long")), "cls").cache()
+    parts = folds.stratified(docs.withColumn("at", F.col("id")), ["id"], "c", "at", n_folds).select("id", "fold")
+    p = classifiers.out_of_fold_texts(docs, parts, names, n_folds).select("model", "fold", F.col("c").alias("actual"), "predicted")
+    by = ["model", "fold"]
+    each = metrics.scores(metrics.by_class(metrics.confusion(p, by), by), by)
+    return _rounded(metrics.ranking(metrics.fold_summary(each, ["model"])))
+
+
 #: Models that are judged on one fold.
 SLOW = ("logistic_regression", "decision_tree", "mlp", "random_forest")
 
@@ -313,6 +323,7 @@ QUERIES = {
     "pca_projection": (pca_projection, None),
     "lda_projection": (lda_projection, None),
     "benchmark_models": (benchmark_models, None),
+    "benchmark_texts": (benchmark_texts, None),
     "holdout_models": (holdout_models, None),
     "consolidated_report": (consolidated_report, None),
 }
