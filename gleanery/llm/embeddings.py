@@ -118,7 +118,8 @@ def find(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id
     """(id, n_links, component_id, kept) of every row; other columns aren't read.
 
     Rows of equal labels that aren't null link at cosine >= threshold. Null, zero and non-finite vectors link with
-    nothing, nor do vectors of another length than the first one's. Equal vectors of a label are compared once and counted as often as they
+    nothing; vectors of unlike lengths don't link, and each length is compared by itself. Usable vectors may have
+    64 different lengths; more raise ValueError. Equal vectors of a label are compared once and counted as often as they
     occur. Ids may be null or repeated: each row counts, component_id is the least id that isn't null. An
     empty table gives an empty result.
     """

@@ -241,6 +241,13 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     assert got[0] > got[1] + 0.15 * got[2]
 
 
+def test_lengths_have_a_stated_limit(spark):
+    df = spark.createDataFrame([(i, 1, [1.0] * (i + 1)) for i in range(65)], "vec_id long, label int, embedding array<double>")
+    with pytest.raises(ValueError, match="64 lengths"):
+        embeddings.find(df)
+    assert "64 different lengths" in embeddings.find.__doc__
+
+
 def test_network_is_whole():
     """2,048 words of their own, 30 classes and 16 units."""
     tokens, c = [b"w%d" % i for i in range(3000)], list(range(4000, 1000, -1))
