@@ -66,9 +66,9 @@ def tokens(c: Column) -> Column:
 
 
 def grams(t: Column) -> Column:
-    """Tokens and pairs of neighbours."""
-    pairs = F.transform(F.sequence(F.lit(1), F.size(t) - 1), lambda i: F.concat_ws(" ", F.element_at(t, i), F.element_at(t, i + 1)))
-    return F.concat(t, F.when(F.size(t) > 1, pairs).otherwise(F.array().cast("array<string>")))
+    """Tokens and pairs of neighbours. t: a plain column, or it is computed several times over."""
+    n = F.greatest(F.size(t) - 1, F.lit(0))
+    return F.concat(t, F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)))
 
 
 def unaccent(c: Column) -> Column:

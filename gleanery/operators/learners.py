@@ -1,0 +1,347 @@
+"""The benchmark's ten models on a bounded set of rows, in numpy: one task fits one of them.
+
+fit(name, x, y, k) gives a model whose predict(x) gives classes 0..k-1. x: finite doubles, a row each; y: classes. Every random
+choice is seeded, so runs agree.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+
+from ..functions.constants import NEIGHBOURS, SEED
+
+#: Thresholds that a tree may cut a feature at: quantiles.
+BINS = 32
+
+
+def minimise(f: Callable, w: np.ndarray, steps: int, tol: float = 1e-6, memory: int = 10) -> np.ndarray:
+    """L-BFGS with backtracking; f gives a value and its gradient."""
+    value, g = f(w)
+    pairs: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        if np.abs(g).max() <= tol:
+            break
+        d, alphas = -g, []
+        for s, t, rho in reversed(pairs):
+            alphas.append(rho * (s @ d))
+            d = d - alphas[-1] * t
+        if pairs:
+            s, t, _ = pairs[-1]
+            d = d * (s @ t) / (t @ t)
+        for (s, t, rho), a in zip(pairs, reversed(alphas), strict=True):
+            d = d + (a - rho * (t @ d)) * s
+        slope, step = g @ d, 1.0
+        if slope >= 0:
+            d, slope, pairs = -g, -(g @ g), []
+        if not pairs:
+            step = min(1.0, 1.0 / np.abs(g).sum())
+        while step > 1e-12:
+            new, g_new = f(w + step * d)
+            if new <= value + 1e-4 * step * slope:
+                break
+            step /= 2
+        else:
+            break
+        s, t = step * d, g_new - g
+        if s @ t > 1e-12:
+            pairs = [*pairs[-(memory - 1) :], (s, t, 1 / (s @ t))]
+        w, value, g = w + s, new, g_new
+    return w
+
+
+class Linear:
+    """Scores x @ w + b, the highest wins."""
+
+    def __init__(self, w: np.ndarray, b: np.ndarray):
+        self.w, self.b = w, b
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return (x @ self.w + self.b).argmax(1)
+
+
+def _packed(x: np.ndarray, k: int, loss: Callable, c: float, steps: int) -> Linear:
+    """Weights that minimise |w|^2 / 2 + c * loss; the offsets aren't penalised. loss(scores) gives a sum and its slope."""
+    n, d = x.shape
+
+    def f(p):
+        w, b = p[: d * k].reshape(d, k), p[d * k :]
+        value, slope = loss(x @ w + b)
+        return (0.5 * (w * w).sum() / c + value) / n, np.r_[(w / c + x.T @ slope).ravel(), slope.sum(0)] / n
+
+    p = minimise(f, np.zeros(d * k + k), steps)
+    return Linear(p[: d * k].reshape(d, k), p[d * k :])
+
+
+def softmax(scores: np.ndarray) -> np.ndarray:
+    e = np.exp(scores - scores.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def logistic(x, y, k, c: float = 5.0, steps: int = 2000) -> Linear:
+    every = np.arange(len(y))
+
+    def loss(scores):
+        p = softmax(scores)
+        value = -np.log(np.maximum(p[every, y], 1e-300)).sum()
+        p[every, y] -= 1
+        return value, p
+
+    return _packed(x, k, loss, c, steps)
+
+
+def squared_hinge(x, y, k, c: float, steps: int = 1000) -> Linear:
+    """One class against the others, all classes at once."""
+    sign = np.where(y[:, None] == np.arange(k), 1.0, -1.0)
+
+    def loss(scores):
+        short = np.maximum(1 - sign * scores, 0)
+        return (short * short).sum(), -2 * sign * short
+
+    return _packed(x, k, loss, c, steps)
+
+
+class Kernel:
+    """A Gaussian-kernel machine: the kernel's own coordinates, a squared hinge in them. gamma = 1 / (width * variance)."""
+
+    def __init__(self, x, y, k, c: float = 5.0):
+        var = x.var()
+        self.x, self.gamma = x, 1 / (x.shape[1] * var) if var > 0 else 1.0
+        values, axes = np.linalg.eigh(self.against(x))
+        keep = values > values[-1] * 1e-10
+        self.back = axes[:, keep] / np.sqrt(values[keep])
+        self.linear = squared_hinge(axes[:, keep] * np.sqrt(values[keep]), y, k, c)
+
+    def against(self, a: np.ndarray) -> np.ndarray:
+        d = (a * a).sum(1)[:, None] + (self.x * self.x).sum(1) - 2 * a @ self.x.T
+        return np.exp(-self.gamma * np.maximum(d, 0))
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return self.linear.predict(self.against(x) @ self.back)
+
+
+def discriminant(x, y, k) -> Linear:
+    """Least squares from class moments; the covariance is shrunk towards its mean variance by the share that minimises the expected error."""
+    n = np.bincount(y, minlength=k).astype(float)
+    means = np.stack([x[y == c].mean(0) if n[c] else np.zeros(x.shape[1]) for c in range(k)])
+    own = x - means[y]
+    cov, width = own.T @ own / len(x), x.shape[1]
+    mu = np.trace(cov) / width
+    spread = ((cov - mu * np.eye(width)) ** 2).sum()
+    noise = max((((own * own).sum(1) ** 2).mean() - (cov**2).sum()) / len(x), 0.0)
+    part = min(noise / spread, 1.0) if spread > 0 else 0.0
+    w = np.linalg.solve((1 - part) * cov + (part * mu + 1e-9) * np.eye(width), means.T)
+    return Linear(w, np.log(np.maximum(n, 1e-9) / n.sum()) - 0.5 * (w.T * means).sum(1))
+
+
+def bayes(x, y, k, smoothing: float = 1.0) -> Linear:
+    """Multinomial; features are shifted to be none below zero."""
+    low = min(x.min(), 0.0)
+    sums = np.stack([(x[y == c] - low).sum(0) for c in range(k)]) + smoothing
+    n = np.bincount(y, minlength=k)
+    w = np.log(sums / sums.sum(1, keepdims=True)).T
+    return Linear(w, np.log(np.maximum(n, 1e-9) / n.sum()) - low * w.sum(0))
+
+
+class Network:
+    """A perceptron with two hidden layers: rectified units, Adam, stops once ten rounds bring nothing."""
+
+    def __init__(self, x, y, k, hidden=(150, 100), rounds: int = 1500, rate: float = 1e-3, decay: float = 1e-4, tol: float = 1e-4):
+        rng, sizes = np.random.default_rng(SEED), (x.shape[1], *hidden, k)
+        self.w = [rng.uniform(-1, 1, s) * np.sqrt((2 if s[1] == k else 6) / sum(s)) for s in zip(sizes, sizes[1:], strict=False)]
+        self.b = [np.zeros(s) for s in sizes[1:]]
+        p = [*self.w, *self.b]
+        m, v = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
+        size, best, idle, t = min(200, len(x)), np.inf, 0, 0
+        for _ in range(rounds):
+            order, total = rng.permutation(len(x)), 0.0
+            for i in range(0, len(x), size):
+                at = order[i : i + size]
+                layers = self.forward(x[at])
+                prob = softmax(layers[-1])
+                total += -np.log(np.maximum(prob[np.arange(len(at)), y[at]], 1e-12)).sum()
+                prob[np.arange(len(at)), y[at]] -= 1
+                d, gw, gb = prob / len(at), [], []
+                for layer in range(len(self.w) - 1, -1, -1):
+                    gw.insert(0, layers[layer].T @ d + decay / len(at) * self.w[layer])
+                    gb.insert(0, d.sum(0))
+                    d = d @ self.w[layer].T * (layers[layer] > 0)
+                t += 1
+                scale = rate * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
+                for a, g, one, two in zip(p, gw + gb, m, v, strict=True):
+                    one += 0.1 * (g - one)
+                    two += 0.001 * (g * g - two)
+                    a -= scale * one / (np.sqrt(two) + 1e-8)
+            idle = 0 if total / len(x) < best - tol else idle + 1
+            best = min(best, total / len(x))
+            if idle >= 10:
+                break
+
+    def forward(self, x: np.ndarray) -> list[np.ndarray]:
+        out = [x]
+        for i, (w, b) in enumerate(zip(self.w, self.b, strict=True)):
+            z = out[-1] @ w + b
+            out.append(np.maximum(z, 0) if i < len(self.w) - 1 else z)
+        return out
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return self.forward(x)[-1].argmax(1)
+
+
+class Binned:
+    """Features as the places of their values among a few quantiles."""
+
+    def __init__(self, x: np.ndarray, bins: int = BINS):
+        self.edges = [np.unique(np.quantile(c, np.arange(1, bins) / bins)) for c in x.T]
+        self.n = bins
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([np.searchsorted(e, c, "left") for e, c in zip(self.edges, x.T, strict=True)], 1).astype(np.int16)
+
+
+class Tree:
+    """Cuts that leave the largest sum of squared sums by size: Gini's for one-hot targets, the squared error's for numbers.
+
+    codes: binned features. y: classes, or numbers if k is 0. leaf(rows) gives a leaf's value. A cut at bin b sends codes <= b left.
+    """
+
+    def __init__(self, codes: np.ndarray, y: np.ndarray, k: int, bins: int, depth: int, leaf: Callable, rows: np.ndarray | None = None, some: int = 0, rng=None):
+        self.feature, self.cut, self.left, self.right, self.value = [], [], [], [], []
+        todo = [(np.arange(len(codes)) if rows is None else rows, 0, -1, 0)]
+        while todo:
+            at, level, parent, side = todo.pop()
+            me = len(self.feature)
+            if parent >= 0:
+                (self.right if side else self.left)[parent] = me
+            found = self.best(codes, y, k, bins, at, some, rng) if level < depth and len(at) > 1 else None
+            self.value.append(leaf(at))
+            self.feature.append(-1 if found is None else found[0])
+            self.cut.append(0 if found is None else found[1])
+            self.left.append(-1)
+            self.right.append(-1)
+            if found is not None:
+                low = codes[at, found[0]] <= found[1]
+                todo += [(at[~low], level + 1, me, 1), (at[low], level + 1, me, 0)]
+        self.feature, self.cut, self.left, self.right, self.value = map(np.array, (self.feature, self.cut, self.left, self.right, self.value))
+
+    @staticmethod
+    def best(codes, y, k, bins, at, some, rng):
+        own = y[at]
+        if k and (own == own[0]).all():
+            return None
+        d = codes.shape[1]
+        chosen = np.sort(rng.permutation(d)[:some]) if some and some < d else None
+        c = codes[at] if chosen is None else codes[np.ix_(at, chosen)]
+        m = c.shape[1]
+        flat = c + np.arange(m, dtype=np.int32) * bins
+        if k:
+            s = np.bincount((flat.astype(np.int64) * k + own[:, None]).ravel(), minlength=m * bins * k).reshape(m, bins, k).cumsum(1).astype(float)
+            n = s.sum(2)
+        else:
+            n = np.bincount(flat.ravel(), minlength=m * bins).reshape(m, bins).cumsum(1).astype(float)
+            s = np.bincount(flat.ravel(), np.repeat(own, m), minlength=m * bins).reshape(m, bins, 1).cumsum(1)
+        whole, total = s[:, -1:, :], float(len(at))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = (s * s).sum(2) / n + ((whole - s) ** 2).sum(2) / (total - n)
+        gain = np.where((n > 0) & (n < total), gain, -np.inf)
+        i = int(gain.argmax())
+        f, b = divmod(i, bins)
+        if not np.isfinite(gain[f, b]) or gain[f, b] <= (whole[f, 0] ** 2).sum() / total + 1e-12:
+            return None
+        return (int(chosen[f]) if chosen is not None else f), b
+
+    def apply(self, codes: np.ndarray) -> np.ndarray:
+        at, every = np.zeros(len(codes), np.int64), np.arange(len(codes))
+        while True:
+            f = self.feature[at]
+            inner = np.flatnonzero(f >= 0)
+            if not len(inner):
+                return at
+            low = codes[every[inner], f[inner]] <= self.cut[at[inner]]
+            at[inner] = np.where(low, self.left[at[inner]], self.right[at[inner]])
+
+    def predict(self, codes: np.ndarray) -> np.ndarray:
+        return self.value[self.apply(codes)]
+
+
+class Trees:
+    """Trees that vote with class shares; one alone is a decision tree."""
+
+    def __init__(self, x, y, k, n: int, depth: int, bagged: bool):
+        self.bins, rng = Binned(x), np.random.default_rng(SEED)
+        codes, one_hot = self.bins(x), np.eye(k)[y]
+        some = max(1, int(np.sqrt(x.shape[1]))) if bagged else 0
+        self.trees = []
+        for _ in range(n):
+            rows = np.sort(rng.integers(0, len(x), len(x))) if bagged else None
+            self.trees.append(Tree(codes, y, k, BINS, depth, lambda at: one_hot[at].mean(0), rows, some, rng))
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        codes = self.bins(x)
+        return sum(t.predict(codes) for t in self.trees).argmax(1)
+
+
+class Boosting:
+    """A small regression tree for each class and round, fitted to what the softmax of the sum so far leaves."""
+
+    def __init__(self, x, y, k, rounds: int = 150, rate: float = 0.1, depth: int = 3):
+        self.bins, self.rate, self.k = Binned(x), rate, k
+        codes, one_hot = self.bins(x), np.eye(k)[y]
+        n = one_hot.sum(0)
+        self.start = np.log(np.maximum(n, 1e-9) / n.sum())
+        scores, self.rounds = np.tile(self.start, (len(x), 1)), []
+        for _ in range(rounds):
+            left = one_hot - softmax(scores)
+            trees = []
+            for c in range(k):
+                r = left[:, c]
+
+                def leaf(at, r=r):
+                    g = r[at]
+                    return (k - 1) / k * g.sum() / max((np.abs(g) * (1 - np.abs(g))).sum(), 1e-12)
+
+                trees.append(Tree(codes, r, 0, BINS, depth, leaf))
+                scores[:, c] += rate * trees[-1].predict(codes)
+            self.rounds.append(trees)
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        codes, scores = self.bins(x), np.tile(self.start, (len(x), 1))
+        for trees in self.rounds:
+            for c, t in enumerate(trees):
+                scores[:, c] += self.rate * t.predict(codes)
+        return scores.argmax(1)
+
+
+class Neighbours:
+    """The class that most of the nearest rows have, the least of equal ones; of equally near rows the first. Distances are rounded to 9 digits."""
+
+    def __init__(self, x, y, k, n: int = NEIGHBOURS):
+        self.x, self.y, self.k, self.n = x, y, k, n
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        out = np.empty(len(x), np.int64)
+        for i, row in enumerate(x):
+            d = np.round(np.sqrt(((self.x - row) ** 2).sum(1)), 9)
+            out[i] = np.bincount(self.y[np.argsort(d, kind="stable")[: self.n]], minlength=self.k).argmax()
+        return out
+
+
+LEARNERS: dict[str, Callable] = {
+    "lda": discriminant,
+    "linear_svc": lambda x, y, k: squared_hinge(x, y, k, 10.0),
+    "rbf_svc": Kernel,
+    "logistic_regression": logistic,
+    "mlp": Network,
+    "naive_bayes": bayes,
+    "random_forest": lambda x, y, k: Trees(x, y, k, 200, 64, True),
+    "gradient_boosting": Boosting,
+    "knn": Neighbours,
+    "decision_tree": lambda x, y, k: Trees(x, y, k, 1, 10, False),
+}
+
+
+def fit(name: str, x: np.ndarray, y: np.ndarray, k: int):
+    if len(x) == 0:
+        raise ValueError("no rows to learn from")
+    return LEARNERS[name](np.asarray(x, np.float64), np.asarray(y, np.int64), k)

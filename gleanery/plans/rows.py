@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.constants import NEIGHBOURS, SEED
+from ..functions.constants import FOLDS, NEIGHBOURS, SEED
 from ..functions.html import extractor, page_text
 from ..functions.text import annotation, label, technician
 from ..operators import classifiers, folds, metrics, profiles, report, vectors
+from ..sources.tables import kept
 from .texts import permutation_parts, scored, table
 from ..operators import homogeneity, keyness
 
@@ -117,7 +118,7 @@ def smote_sizes(spark, sf_dir):
 
 def smote_samples(spark, sf_dir):
     s = folds.smote(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
-    return s.select("cls", "sample", "base", "neighbour", F.round("u", 6).alias("u"), F.array_join(F.transform("v", lambda x: F.round(x, 4).cast("string")), " ").alias("v")).drop("v")
+    return s.select("cls", "sample", "base", "neighbour", F.round("u", 6).alias("u"), F.aggregate("v", F.lit(0.0), lambda a, x: a + F.round(x * 10000)).cast("long").alias("v_sum"), F.round(F.element_at("v", 1), 6).alias("v_first"), F.round(F.element_at("v", -1), 6).alias("v_last"))
 
 
 SMOTE = f"""
@@ -129,7 +130,9 @@ h as (select *, cast('0x' || substr(md5(concat_ws('|', '{SEED}', 'neighbour', cl
         cast('0x' || substr(md5(concat_ws('|', '{SEED}', 'u', cls, sample)), 1, 8) as bigint) / cast(4294967296 as double) as u from s),
 k as (select a.id, b.id as neighbour, row_number() over (partition by a.id order by round(list_distance(a.v, b.v), 9), b.id) as rank
       from d a join d b on a.cls = b.cls and a.id <> b.id where a.cls in (select cls from n where need > 0))
-select cls, sample, h.id as base, neighbour, round(u, 6) as u from h join k on h.id = k.id and h.rank = k.rank"""
+select cls, sample, h.id as base, neighbour, round(u, 6) as u, cast(list_sum(list_transform(list_zip(a.v, b.v), lambda p: round((p[1] + u * (p[2] - p[1])) * 10000))) as bigint) as v_sum,
+  round(a.v[1] + u * (b.v[1] - a.v[1]), 6) as v_first, round(a.v[-1] + u * (b.v[-1] - a.v[-1]), 6) as v_last
+from h join k on h.id = k.id and h.rank = k.rank join d a on a.id = h.id join d b on b.id = neighbour"""
 
 
 def knn3_predict(spark, sf_dir):
@@ -238,52 +241,39 @@ def lda_projection(spark, sf_dir):
     return classifiers.discriminant_axes(embedded(spark, sf_dir), 64)
 
 
-def cross_validated(spark, sf_dir, names=classifiers.NAMES, n_folds: int = 5) -> DataFrame:
-    rows = embedded(spark, sf_dir).cache()
-    parts = folds.stratified(rows.withColumn("at", F.col("id")), ["id"], "c", "at", n_folds).select("id", "fold")
-    out = None
-    for name in names:
-        p = classifiers.out_of_fold(rows, parts, name, n_folds).select("fold", F.col("c").alias("actual"), "predicted")
-        one = metrics.scores(metrics.by_class(metrics.confusion(p, ["fold"]), ["fold"]), ["fold"]).withColumn("model", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+def _judged(predictions: DataFrame) -> DataFrame:
+    """Means and deviations of each model's measures over folds."""
+    by, p = ["model", "fold"], predictions.select("model", "fold", F.col("c").alias("actual"), "predicted")
+    return metrics.fold_summary(metrics.scores(metrics.by_class(metrics.confusion(p, by), by), by), ["model"])
 
 
-def benchmark_models(spark, sf_dir):
-    return _rounded(metrics.ranking(metrics.fold_summary(cross_validated(spark, sf_dir), ["model"])))
+def benchmark_models(spark, sf_dir, names=classifiers.NAMES, n_folds: int = FOLDS):
+    """The ranking of all models over the embeddings."""
+    rows = embedded(spark, sf_dir)
+    parts = folds.stratified(rows.withColumn("at", F.col("id")), ["id"], "c", "at", n_folds).select("id", "fold")
+    return _rounded(metrics.ranking(_judged(classifiers.cross_validated(rows, parts, names, n_folds))))
 
 
-def benchmark_texts(spark, sf_dir, names=classifiers.NAMES, n_folds: int = 5):
-    """The ranking of all models over the documents by language, with a vocabulary for each fold."""
-    docs = classifiers.coded(vectors.documents(table(spark, sf_dir, "documents"), "doc_id", "lang", "text").withColumn("id", F.col("id").cast("long")), "cls").cache()
-    parts = folds.stratified(docs.withColumn("at", F.col("id")), ["id"], "c", "at", n_folds).select("id", "fold")
-    p = classifiers.out_of_fold_texts(docs, parts, names, n_folds).select("model", "fold", F.col("c").alias("actual"), "predicted")
-    by = ["model", "fold"]
-    each = metrics.scores(metrics.by_class(metrics.confusion(p, by), by), by)
-    return _rounded(metrics.ranking(metrics.fold_summary(each, ["model"])))
+def text_folds(spark, sf_dir, n_folds: int = FOLDS) -> DataFrame:
+    docs = vectors.documents(table(spark, sf_dir, "documents"), "doc_id", "lang", "text").withColumn("id", F.col("id").cast("long"))
+    ids = classifiers.coded(docs.select("id", "cls"), "cls")
+    parts = folds.stratified(ids.withColumn("at", F.col("id")), ["id"], "c", "at", n_folds).select("id", F.col("cls").alias("c"), "fold")
+    return docs.join(kept(parts), "id")
 
 
-#: Models that are judged on one fold.
-SLOW = ("logistic_regression", "decision_tree", "mlp", "random_forest")
+def judged_texts(spark, sf_dir, names=classifiers.NAMES, n_folds: int = FOLDS) -> DataFrame:
+    return _judged(classifiers.cross_validated_texts(text_folds(spark, sf_dir, n_folds), names, n_folds))
 
 
-def holdout_models(spark, sf_dir):
-    """Measures of the slower models on the first fold, trained on the others, oversampled."""
-    rows = embedded(spark, sf_dir).cache()
-    parts = folds.stratified(rows.withColumn("at", F.col("id")), ["id"], "c", "at").select("id", "fold")
-    out = None
-    for name in SLOW:
-        p = classifiers.out_of_fold(rows, parts, name, 1).select(F.col("c").alias("actual"), "predicted", F.lit(name).alias("model"))
-        one = metrics.scores(metrics.by_class(metrics.confusion(p, ["model"]), ["model"]), ["model"])
-        out = one if out is None else out.unionByName(one)
-    return _rounded(out)
+def benchmark_texts(spark, sf_dir, names=classifiers.NAMES, n_folds: int = FOLDS):
+    """The ranking of all models over the documents by language, with a vocabulary for each fold."""
+    return _rounded(metrics.ranking(judged_texts(spark, sf_dir, names, n_folds)))
 
 
 def consolidated_report(spark, sf_dir):
     cells, sizes = scored(spark, sf_dir)
     totals = profiles.with_total(table(spark, sf_dir, "documents"), "lang").withColumnRenamed("lang", "cls")
-    models = metrics.fold_summary(cross_validated(spark, sf_dir), ["model"])
-    best = report.winner(models.withColumnRenamed("f1_macro_mean", "f1_macro"), "f1_macro")
+    best = report.winner(judged_texts(spark, sf_dir).withColumnRenamed("f1_macro_mean", "f1_macro"), "f1_macro")
     test = homogeneity.permutation_test(*permutation_parts(spark, sf_dir))
     return report.consolidated(totals, best, test, report.terms_by_class(keyness.top_terms(cells, sizes)))
 
@@ -324,6 +314,5 @@ QUERIES = {
     "lda_projection": (lda_projection, None),
     "benchmark_models": (benchmark_models, None),
     "benchmark_texts": (benchmark_texts, None),
-    "holdout_models": (holdout_models, None),
     "consolidated_report": (consolidated_report, None),
 }

@@ -15,10 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str):
-    """(documents, vocabulary, counts, class sizes) of the documents by language; tokens and counts are read more than once, so kept."""
+    """(documents, vocabulary, counts, class sizes) of the documents by language."""
     docs = vectors.documents(table(spark, sf_dir, "documents"), "doc_id", "lang", "text")
-    vocab = vectors.vocabulary(docs).cache()
-    return docs, vocab, vectors.term_counts(docs, vocab).cache(), vectors.class_sizes(docs)
+    vocab, counts = vectors.fitted(docs)
+    return docs, vocab, counts, vectors.class_sizes(docs)
 
 
 TOK = r"""
@@ -130,13 +130,17 @@ with d as (select vec_id as id, cast(label as varchar) as cls, cast(embedding as
 u as (select id, cls, unnest(range(1, len(v) + 1)) as term, unnest(v) / norm as x from d where norm > 0),
 ids as (select id, cls from d), sizes as (select cls, count(*) as n from ids group by cls),
 b as (select cls, sum(n) over (order by cls) - n as low, sum(n) over (order by cls) as high from sizes),
-ranked as (select perm, id, row_number() over (partition by perm order by md5(concat_ws('|', '{SEED}', perm, id)), id) as r from ids cross join (select unnest(range(1, {PERMUTATIONS + 1})) as perm)),
+k as (select id, cast('0x' || substr(md5(concat_ws('|', '{SEED}', id)), 1, 8) as bigint) % {homogeneity.PRIME} as x from ids),
+co as (select perm, list(cast('0x' || substr(md5(concat_ws('|', '{SEED}', perm, i)), 1, 8) as bigint) % {homogeneity.PRIME} order by i) as c
+       from (select unnest(range(1, {PERMUTATIONS + 1})) as perm) cross join (select unnest(range(4)) as i) group by perm),
+y as (select perm, id, (((c[1] * x + c[2]) % {homogeneity.PRIME} * x + c[3]) % {homogeneity.PRIME} * x + c[4]) % {homogeneity.PRIME} as y from k cross join co),
+ranked as (select perm, id, row_number() over (partition by perm order by y, id) as r from y),
 dealt as (select 0 as perm, id, cls from ids union all select perm, id, b.cls from ranked join b on r > low and r <= high),
 s as (select perm, dealt.cls, term, sum(x) as s from u join dealt using (id) group by all),
 own as (select perm, sum(s * s) as own2 from s group by perm),
 whole as (select perm, sum(s * s) as all2 from (select perm, term, sum(s) as s from s group by all) group by perm),
-k as (select (select count(*) from d where norm > 0) as q, (select count(*) from d) as n, (select sum(n * (n - 1) / 2) from sizes) as ip),
-m as (select perm, (own2 - q) / 2 / ip as intra, ((all2 - q) / 2 - (own2 - q) / 2) / (n * (n - 1) / 2 - ip) as inter from own join whole using (perm) cross join k),
+nn as (select (select count(*) from d where norm > 0) as q, (select count(*) from d) as n, (select sum(n * (n - 1) / 2) from sizes) as ip),
+m as (select perm, (own2 - q) / 2 / ip as intra, ((all2 - q) / 2 - (own2 - q) / 2) / (n * (n - 1) / 2 - ip) as inter from own join whole using (perm) cross join nn),
 o as (select intra, inter, intra - inter as observed from m where perm = 0), p as (select intra - inter as difference from m where perm > 0)
 select round(any_value(intra), 8) as intra, round(any_value(inter), 8) as inter, round(any_value(observed), 8) as observed, count(*) as permutations,
   count(*) filter (round(difference, 12) >= round(observed, 12)) as extremes, round(avg(difference), 8) as null_mean, round(stddev_pop(difference), 8) as null_std,
