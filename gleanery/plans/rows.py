@@ -130,7 +130,7 @@ h as (select *, cast('0x' || substr(md5(concat_ws('|', '{SEED}', 'neighbour', cl
         cast('0x' || substr(md5(concat_ws('|', '{SEED}', 'u', cls, sample)), 1, 8) as bigint) / cast(4294967296 as double) as u from s),
 k as (select a.id, b.id as neighbour, row_number() over (partition by a.id order by round(list_distance(a.v, b.v), 9), b.id) as rank
       from d a join d b on a.cls = b.cls and a.id <> b.id where a.cls in (select cls from n where need > 0))
-select cls, sample, h.id as base, neighbour, round(u, 6) as u, cast(list_sum(list_transform(list_zip(a.v, b.v), lambda p: round((p[1] + u * (p[2] - p[1])) * 10000))) as bigint) as v_sum,
+select h.cls, sample, h.id as base, neighbour, round(u, 6) as u, cast(list_sum(list_transform(list_zip(a.v, b.v), lambda p: round((p[1] + u * (p[2] - p[1])) * 10000))) as bigint) as v_sum,
   round(a.v[1] + u * (b.v[1] - a.v[1]), 6) as v_first, round(a.v[-1] + u * (b.v[-1] - a.v[-1]), 6) as v_last
 from h join k on h.id = k.id and h.rank = k.rank join d a on a.id = h.id join d b on b.id = neighbour"""
 
