@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_dir
+
 #: A word is a run of anything but ASCII blanks; the same set that bytes.split() splits at.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes that go to or come from Python at a time, unless a row has more.
@@ -21,14 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
-    return at.rstrip("/")
-
-
 def written(df: DataFrame, level: int = 3, partition_by: str | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors.
     A column to partition by is read back last. The folder goes when the driver ends."""
@@ -50,6 +44,14 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else. Pure-ASCII texts take the fast path."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -79,9 +81,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
 
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow() with batches of a bounded number of bytes; the setting stays, as the frame runs later."""
+    """mapInArrow() with batches of a bounded number of bytes; the setting stays, as the frame runs later. Workers hand memory
+    that a batch took back to the system."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        pa.set_memory_pool(pa.system_memory_pool())
+        return f(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -153,6 +153,12 @@ class Trainer:
         squares += grad * grad
         a -= self.rate * grad / np.sqrt(squares)
 
+    def rows(self, ids: np.ndarray, grad: np.ndarray) -> None:
+        """A step of the inputs' rows that a window has."""
+        squares = self.squares[0][ids] + grad * grad
+        self.squares[0][ids] = squares
+        self.model.x[ids] -= self.rate * grad / np.sqrt(squares)
+
     def window(self, inputs, targets, keep, use, h) -> tuple[np.ndarray, float]:
         """Learn from a window (steps, lanes); use: which targets count. Returns the last state and the log likelihood."""
         m, n, trace = self.model, self.model.hidden, []
@@ -191,10 +197,7 @@ class Trainer:
         ids = ids[order]
         starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
         grad = np.add.reduceat(d_in.reshape(-1, 3 * n)[order], starts, axis=0)
-        rows = ids[starts].astype(np.int64)
-        sq = s[0][rows] + grad * grad
-        s[0][rows] = sq
-        m.x[rows] -= self.rate * grad / np.sqrt(sq)
+        self.rows(ids[starts].astype(np.int64), grad)
         return last, float(logs.sum())
 
 

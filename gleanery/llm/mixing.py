@@ -132,13 +132,18 @@ def pick_large(small: DataFrame, goal: DataFrame) -> DataFrame:
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
-    """Range-sorted by the first position, documents that are not taken last; ids part ties."""
+    """Range-sorted by the first position, documents that are not taken (null and empty texts among them) last; ids, nulls first, then sizes part ties.
+    Repeated rows are all kept. An empty table stays empty."""
     first = F.try_element_at("positions", F.lit(1))
     return mixed.orderBy(first.asc_nulls_last(), "doc_id", "size")
 
 
 def take(docs: DataFrame, **kw) -> DataFrame:
-    """Rows of docs as the mixture has them: one for each copy taken, range-sorted by position."""
+    """Rows of docs as the mixture has them, with all their columns, whatever their names: one for each copy taken, range-sorted by position, then id and size.
+
+    Null and empty texts have no words and are not taken. Null sources are one source; null and repeated ids and repeated rows are taken as rows
+    of their own. An empty table gives an empty result.
+    """
     copies = mix(docs, carry=True, **kw).select("_row", "doc_id", "size", F.explode("positions").alias("_position"))
     return copies.orderBy("_position", "doc_id", "size").select("_row.*")
 

@@ -46,7 +46,7 @@ class Hasher:
             return np.array([memo[w] for w in words], np.uint64)
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Words and pairs weigh 1 / sqrt(their number); then the bias and the make-up features."""
+        """Words and pairs weigh 1 / their number; then the bias and the make-up features."""
         words = words_of(text)
         n = len(words)
         raw = text or ""
@@ -76,13 +76,13 @@ def shape_of(raw: str, words: list[bytes]) -> list[float]:
 
 def fit(examples: Iterable[tuple[str | None, int]], bits: int = BITS, epochs: int = EPOCHS, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.01, l2: float = 0.01) -> np.ndarray:
     """FTRL-proximal over the examples, in their order, epochs times. Returns the weights."""
-    hasher = Hasher(bits)
-    rows = [(*hasher(text), y) for text, y in examples]
+    hasher, rows = Hasher(bits), []
+    for text, y in examples:  # 12 bytes for each different feature of a text
+        at, where = np.unique((f := hasher(text))[0], return_inverse=True)
+        rows.append((at.astype(np.int32), np.bincount(where, f[1]), y))
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     for _ in range(max(epochs, LEAST_STEPS // max(1, len(rows)))):
-        for index, value, y in rows:
-            at, where = np.unique(index, return_inverse=True)
-            x = np.bincount(where, value)
+        for at, x, y in rows:
             zi, ni = z[at], n[at]
             w = np.where(np.abs(zi) > l1, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2), 0.0)
             g = (sigmoid(w @ x) - y) * x
@@ -103,14 +103,17 @@ def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> np.ndarray:
     """Weights from the labelled texts that aren't held out, max_train at most: those whose hashed ids come
-    first, so the same for any partitioning. One task fits them as they stream past. Null labels and null ids teach nothing; of an
-    id's labels the greatest counts. Without examples every score is one half.
+    first, so the same for any partitioning. One task fits them. Null labels and null ids teach nothing; of an
+    id's labels the greatest counts; of an id's rows the one whose text has the least hash. Null and empty texts are examples as others are.
+    Without examples every score is one half. Other columns aren't read.
     """
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     marks = marks.where(F.col("_id").isNotNull() & F.col("_y").isNotNull() & ~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_y").alias("_y"))
     # Bounded: max_train rows of ids.
     marks = marks.withColumn("_key", F.md5(F.col("_id").cast("string"))).orderBy("_key", "_id").limit(max_train)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "_id")
+    # One row of each id, so max_train bounds the rows too.
+    texts = texts.groupBy("_id", "_key", "_y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("text"))).alias("_t")).select("_key", "_y", "_t.text")
     texts = texts.repartition(1).sortWithinPartitions("_key", "text").select("text", "_y")
 
     def learn(batches):
@@ -130,7 +133,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def with_score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", name: str = "score") -> DataFrame:
     """docs with one more column: the probability of label 1, for null and empty texts too. A column of that
-    name is replaced."""
+    name is replaced; all others, whatever they are called, stay as they are. Every row is scored by itself, so repeated ones get equal
+    scores. An empty table stays empty."""
     docs = docs.drop(name)
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2**BITS doubles
 
@@ -143,7 +147,7 @@ def with_score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", nam
                 out.append(float(sigmoid(w[index] @ value)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, name])
 
-    return map_arrow(docs, scored, f"{ddl(docs)}{name} double")
+    return map_arrow(docs, scored, f"{ddl(docs)}`{name}` double")
 
 
 def ddl(df: DataFrame) -> str:

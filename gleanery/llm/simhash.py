@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, map_arrow, slices, table, words_of, written
+from .common import components, fresh, map_arrow, slices, table, words_of, written
 
 SEED = 42
 SHINGLE = 4
@@ -46,7 +46,8 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", name: str = "_fp") -> DataFrame:
-    """docs with its texts' fingerprints as signed longs. A column of that name is replaced."""
+    """docs with its texts' fingerprints as signed longs, 0 for null and empty texts. A column of that name is replaced; all others, whatever
+    they are called, stay as they are. An empty table stays empty."""
     docs = docs.drop(name)
 
     def add(batches: Iterator[pa.RecordBatch]):
@@ -208,16 +209,17 @@ def representatives(rows: DataFrame, t: int = MAX_BITS) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t: int = MAX_BITS) -> DataFrame:
-    """One row of docs for each group of near-duplicates, its columns as they are: that of the least id; of
-    rows with equal ids and fingerprints the first by a hash of the text. A group whose ids are all null
-    keeps one row as well.
+    """One row of docs for each group of near-duplicates, its columns as they are, whatever their names: that of the least id,
+    nulls last; of rows with equal ids and fingerprints the first by its text's hash. Null and empty texts and texts without words are one
+    group. A group whose ids are all null keeps one row as well. An empty table gives an empty result.
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    own = written(with_fingerprint(own).drop("text"))
-    stay = representatives(own, t).where("_fp = _keep_fp").select(F.col("_fp").alias("_stay"), F.col("component_id").alias("_stay_id"))
-    out = with_fingerprint(docs).join(stay, (F.col("_fp") == F.col("_stay")) & F.col(id_col).eqNullSafe(F.col("_stay_id")))
-    one = Window.partitionBy("_fp").orderBy(F.xxhash64(text_col))
-    return out.withColumn("_rank", F.row_number().over(one)).where("_rank = 1").select(*docs.columns)
+    fp = fresh(docs, "_fp")
+    rows = written(with_fingerprint(docs, text_col, fp)).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(fp).alias("fp"))
+    rows = rows.select("fp", F.col("row").getField(id_col).alias("id"), "row")
+    stay = representatives(rows.select(F.col("fp").alias("_fp"), F.col("id").alias("doc_id")), t).where("_fp = _keep_fp").select("_fp", F.col("component_id").alias("_id"))
+    out = rows.join(stay, (F.col("fp") == F.col("_fp")) & F.col("id").eqNullSafe(F.col("_id")))
+    one = Window.partitionBy("fp").orderBy(F.xxhash64(F.col("row").getField(text_col)))
+    return out.withColumn("rank", F.row_number().over(one)).where("rank = 1").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

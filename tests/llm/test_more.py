@@ -183,15 +183,15 @@ def test_gradient_is_the_slope():
         def step(self, a, squares, grad):
             squares[...] = grad
 
+        def rows(self, ids, grad):
+            self.squares[0][ids] = grad
+
     m = make()
     t = Probe(m)
     for s in t.squares:
         s[...] = 0
-    x0 = m.x.copy()
-    t.rate = 0
     t.window(inputs, ids, keep, use, np.zeros((3, 4)))
-    m.x = x0
-    for k, (a, g) in enumerate(zip(m.flat()[1:], t.squares[1:], strict=True)):
+    for k, (a, g) in enumerate(zip(m.flat(), t.squares, strict=True)):
         for at in list(np.ndindex(a.shape))[:: max(1, a.size // 7)]:
             old = a[at]
             a[at] = old + 1e-3
@@ -202,6 +202,36 @@ def test_gradient_is_the_slope():
             assert abs((up - down) / 2e-3 - g[at]) < 2e-2 * max(1, abs(g[at])), (k, at)
 
 
+def test_network_probabilities_equal_a_plain_loop():
+    """Windows, states and the factored softmax against one document and one token at a time."""
+    rng = np.random.default_rng(4)
+    counts = np.r_[30, 25, np.sort(rng.integers(1, 60, 40))[::-1]]
+    m = language_model.Model(counts, hidden=5, seed=3)
+    m.ww += rng.normal(0, 0.5, m.ww.shape).astype(np.float32)
+    docs = [np.r_[rng.integers(1, 42, n), 0].astype(np.int32) for n in (0, 3, 40, 17, 1, 90)]
+    got, h = np.zeros(len(docs)), np.zeros((2, 5), np.float32)
+    for inputs, targets, keep, use, doc, stay in language_model.windows(docs, lanes=2, steps=7):
+        states, h = m.run(inputs, keep, h[stay])
+        c = use.ravel()
+        got += np.bincount(doc.ravel()[c], m.log_probs(states.reshape(-1, 5)[c], targets.ravel()[c]), len(docs))
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    for d, total in zip(docs, got):
+        state, before, want = [0.0] * 5, 0, 0.0
+        for token in d.tolist():
+            x, a = m.x[before].astype(float), np.array(state) @ m.u.astype(float)
+            z, r = [sigmoid(v) for v in x[:5] + a[:5]], [sigmoid(v) for v in x[5:10] + a[5:10]]
+            new = [math.tanh(x[10 + i] + r[i] * a[10 + i]) for i in range(5)]
+            state = [z[i] * state[i] + (1 - z[i]) * new[i] for i in range(5)]
+            c = int(np.searchsorted(m.bounds, token, "right")) - 1
+            logits = np.array(state) @ m.wc.astype(float) + m.bc
+            want += logits[c] - math.log(sum(math.exp(v) for v in logits))
+            lo, hi = m.bounds[c], m.bounds[c + 1]
+            logits = m.ww[lo:hi].astype(float) @ np.array(state) + m.bw[lo:hi]
+            want += logits[token - lo] - math.log(sum(math.exp(v) for v in logits))
+            before = token
+        assert abs(want - total) < 1e-4 * len(d)
+
+
 def test_windows_carry_every_token_once():
     rng = np.random.default_rng(2)
     docs = [np.r_[rng.integers(2, 9, n), 0].astype(np.int32) for n in (1, 50, 3, 7, 200, 2, 9)]
@@ -336,8 +366,12 @@ def test_pipeline_against_brute_force(spark):
 
 
 def test_pipeline_on_odd_rows(spark, odd, data):
+    from tests.llm.test_rows import with_inner_names
+
     docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
-    for d in (docs, docs.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
-            d = stage(spark, d, data)
-        d.count()
+    for d in (docs, docs.limit(0), odd, with_inner_names(odd)):
+        every = set(map(tuple, d.collect()))
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            columns, d = d.columns, stage(spark, d, data).cache()
+            assert d.columns == columns and set(map(tuple, d.collect())) <= every
+        assert corpus_pipeline.STAGES[-1][1](spark, d, data).count() == d.count()

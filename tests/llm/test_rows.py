@@ -38,6 +38,9 @@ def test_shards(spark, odd, odd_rows, none):
     assert as_counter((r.doc_id, r.size, r.text_crc32) for r in got) == want
     n = [sorted(r.slot for r in got if r.shard == s) for s in range(4)]
     assert all(s == list(range(len(s))) for s in n) and max(map(len, n)) - min(map(len, n)) <= 1
+    assert sorted(r.row_number for r in got) == list(range(len(odd_rows)))
+    place = sharding.permute(np.arange(len(odd_rows)), len(odd_rows))
+    assert all((r.shard, r.slot) == (place[r.row_number] % 4, place[r.row_number] // 4) for r in got)
     again = sharding.shard(odd.repartition(1), 4).collect()
     assert as_counter(got) == as_counter(again)
     assert sharding.shard(none, 4).count() == 0
@@ -148,9 +151,33 @@ def test_fingerprints_and_groups(spark, odd, odd_rows, none):
     assert kept.columns == odd.columns
     kept = kept.collect()
     assert len(kept) == len(set(root)) and sorted(r.doc_id for r in kept) == sorted(low.values())
+    assert as_counter(kept) <= as_counter(odd_rows)
     assert simhash.deduplicate(none).count() == 0
 
 
+INNER = "_fp _fp_ fp id row rank _id _keep_fp component_id _stay _rank _score _score_ _row _key _hash size _low _root".split()
+
+
+def with_inner_names(odd):
+    from pyspark.sql import functions as F
+
+    return odd.select("doc_id", "text", "lang", "source", "n_chars", *(F.concat(F.lit(f"{n} "), F.coalesce("doc_id", F.lit(-1))).alias(n) for n in INNER))
+
+
+def test_columns_with_inner_names_keep_their_values(spark, odd):
+    """Every name that the operators use inside, as a column of texts."""
+    import corpus_pipeline
+    from gleanery.llm import quality as q
+
+    own = with_inner_names(odd)
+    every = as_counter(own.collect())
+    for out in (simhash.deduplicate(own), simhash.with_fingerprint(own, name="added").drop("added"), q.with_score(own, np.zeros(1 << q.BITS), name="added").drop("added"), corpus_pipeline.keep_quality(spark, own, "/root/testdata/sf0.001")):
+        assert out.columns == own.columns
+        assert as_counter(out.collect()) <= every
+    mixed = mixing.take(own)
+    assert mixed.columns == own.columns and set(map(tuple, mixed.collect())) <= set(every)
+
+
 @pytest.mark.parametrize("block", [8, 100_000])
 def test_links_join_what_brute_force_joins(spark, block):
     rng = np.random.default_rng(1)
@@ -232,6 +259,20 @@ def test_long_word_without_end(model):
 # --- media
 
 
+def test_cuts_equal_a_rolling_hash_byte_by_byte():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 31, 32, 1500, 5000, 40000):
+        data = rng.integers(97, 101 if n % 2 else 255, n, np.uint8).tobytes()
+        h, start, ends = 0, 0, []
+        for i, b in enumerate(data):
+            h = ((h << 1) + int(media._GEAR[b])) & 0xFFFFFFFF  # older bytes leave by the shift
+            size = i + 1 - start
+            if i + 1 < n and size >= media.LEAST and (h >> (32 - media.BITS) == 0 or size == media.MOST):
+                ends.append(i + 1)
+                start = i + 1
+        assert media.cuts(data) == [*ends, n][: None if n else 0]
+
+
 def test_chunks_follow_content():
     rng = np.random.default_rng(3)
     data = rng.integers(32, 127, 60000, np.uint8).tobytes()
@@ -293,6 +334,49 @@ def test_quality(spark, odd, odd_rows, none):
     assert {r.score for r in blank} == {0.5}
 
 
+def test_training_equals_plain_ftrl():
+    """Weights of the online learner against dictionaries and one feature at a time."""
+    import random
+
+    rng = random.Random(3)
+    examples = [(" ".join(rng.choice(("aa bb cc dd ee" if y else "bb vv ww xx yy").split()) for _ in range(rng.randint(0, 9))), y) for y in (0, 1) * 8]
+    got = quality.fit(examples, bits=12, epochs=2, alpha=0.3, beta=1.0, l1=0.02, l2=0.05)
+    z, n, hasher = {}, {}, quality.Hasher(12)
+
+    def weight(i):
+        zi, ni = z.get(i, 0.0), n.get(i, 0.0)
+        return 0.0 if abs(zi) <= 0.02 else -(zi - (0.02 if zi > 0 else -0.02)) / ((1.0 + ni**0.5) / 0.3 + 0.05)
+
+    for _ in range(max(2, quality.LEAST_STEPS // len(examples))):
+        for text, y in examples:
+            x = {}
+            for i, v in zip(*hasher(text)):
+                x[int(i)] = x.get(int(i), 0.0) + float(v)
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                s = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / 0.3
+                z[i] = z.get(i, 0.0) + g - s * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    want = np.zeros(1 << 12)
+    for i in z:
+        want[i] = weight(i)
+    assert np.abs(want).max() > 0 and np.allclose(got, want, rtol=1e-6, atol=1e-9)
+
+
+def test_repeated_ids_do_not_grow_the_sample(spark):
+    docs = spark.createDataFrame([(i % 4 + 1, f"text {i}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 5)], "doc_id long, quality int")
+    seen = []
+    own, quality.map_arrow = quality.map_arrow, lambda df, f, schema: (seen.append(df.count()), own(df, f, schema))[1]
+    try:
+        quality.train(docs, labels)
+    finally:
+        quality.map_arrow = own
+    assert seen and seen[0] <= 4
+
+
 def test_quality_learns_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
