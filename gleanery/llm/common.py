@@ -52,6 +52,19 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Copies of a row that one array may name.
+COPIES = 65_536
+
+
+def repeated(df: DataFrame, n: Column, name: str, start: Column | None = None) -> DataFrame:
+    """Each row n times, numbered from start (0); copies come in blocks, so no array is longer than COPIES."""
+    blocks = df.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / COPIES)))).where(n > 0)
+    first = F.col("_block") * COPIES
+    at = F.explode(F.sequence(first, F.least(n, first + COPIES) - 1))
+    out = blocks.withColumn(name, at).drop("_block")
+    return out.withColumn(name, F.col(name) + start) if start is not None else out
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else. Pure-ASCII texts take the fast path."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices, table, words_of, written
+from .common import map_arrow, repeated, slices, table, words_of, written
 
 #: The network's words, and the words whose counts every task knows; the counts of others are joined.
 WORDS, KNOWN = 2048, 131072
@@ -47,15 +47,21 @@ def class_bounds(counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     return np.r_[0, 1, starts, len(counts)]
 
 
+_ONES: dict[tuple, np.ndarray] = {}
+
+
 def exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
     """exp(logits - top), sums by row, and top: 0, or each row's largest logit where exp overflows or vanishes."""
+    key = logits.shape[1], logits.dtype
+    if key not in _ONES:
+        _ONES[key] = np.ones(*key)
     e = np.exp(logits)
-    s = e @ np.ones(e.shape[1], e.dtype)
+    s = e @ _ONES[key]
     if s.max() < 1e37 and s.min() > 1e-30:
         return e, s, 0.0
     top = logits.max(axis=1)
     e = np.exp(logits - top[:, None])
-    return e, e @ np.ones(e.shape[1], e.dtype), top
+    return e, e @ _ONES[key], top
 
 
 class Model:
@@ -102,7 +108,7 @@ class Model:
             z, r, an = zr[:, :n], zr[:, n:], a[:, 2 * n :]
             new = np.tanh(g[:, 2 * n :] + r * an)
             if trace is not None:
-                trace.append((h, z, r, an, new))
+                trace.append((h, zr, an, new))
             h = np.subtract(h, new, out=out[t])
             h *= z
             h += new
@@ -110,36 +116,44 @@ class Model:
 
     def log_probs(self, states: np.ndarray, targets: np.ndarray, back: bool = False):
         """Natural logs of the targets' probabilities; with back, the gradients of their negative sum as well."""
-        cls, every = self.class_of[targets], np.arange(len(targets))
+        cls = self.class_of[targets]
+        order = np.argsort(cls, kind="stable")  # by class, so that a class's rows lie together
+        edges = np.searchsorted(cls[order], np.arange(len(self.bounds)))
+        states, targets, cls, every = states[order], targets[order], cls[order], np.arange(len(targets))
         logits = states @ self.wc
         logits += self.bc
         picked = logits[every, cls]
         e, s, top = exponentials(logits)
-        out = picked - top - np.log(s)
+        found = picked - top - np.log(s)
         if back:
             d = np.multiply(e, (1 / s)[:, None], out=e)
             d[every, cls] -= 1
-            dh, grads = d @ self.wc.T, [states.T @ d, d.sum(axis=0), []]
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(len(self.bounds)))
+            dh, gww, gbw = d @ self.wc.T, np.zeros_like(self.ww), np.zeros_like(self.bw)
+            gwc, gbc = states.T @ d, d.sum(axis=0)
         for c in range(len(self.bounds) - 1):
-            lo, hi = self.bounds[c], self.bounds[c + 1]
-            rows = order[edges[c] : edges[c + 1]]
-            if hi - lo < 2 or not len(rows):
+            lo, hi, first, last = self.bounds[c], self.bounds[c + 1], edges[c], edges[c + 1]
+            if hi - lo < 2 or first == last:
                 continue
-            x, w = states[rows], self.ww[lo:hi]
+            x, w = states[first:last], self.ww[lo:hi]
             logits = x @ w.T
             logits += self.bw[lo:hi]
-            at, which = every[: len(rows)], targets[rows] - lo
+            at, which = every[: last - first], targets[first:last] - lo
             picked = logits[at, which]
             e, s, top = exponentials(logits)
-            out[rows] += picked - top - np.log(s)
+            found[first:last] += picked - top - np.log(s)
             if back:
                 e *= (1 / s)[:, None]
                 e[at, which] -= 1
-                dh[rows] += e @ w
-                grads[2].append((lo, hi, e.T @ x, e.sum(axis=0)))
-        return (out, dh, grads) if back else out
+                dh[first:last] += e @ w
+                np.matmul(e.T, x, out=gww[lo:hi])
+                np.sum(e, axis=0, out=gbw[lo:hi])
+        out = np.empty_like(found)
+        out[order] = found
+        if not back:
+            return out
+        turned = np.empty_like(dh)
+        turned[order] = dh
+        return out, turned, (gwc, gbc, gww, gbw)
 
 
 class Trainer:
@@ -164,7 +178,7 @@ class Trainer:
         m, n, trace = self.model, self.model.hidden, []
         states, last = m.run(inputs, keep, h, trace)
         flat, chosen = states.reshape(-1, n), np.flatnonzero(use.ravel())
-        logs, dh, (gwc, gbc, words) = m.log_probs(flat[chosen], targets.ravel()[chosen], back=True)
+        logs, dh, grads = m.log_probs(flat[chosen], targets.ravel()[chosen], back=True)
         d_out = np.zeros_like(flat)
         d_out[chosen] = dh
         d_out = d_out.reshape(states.shape)
@@ -173,25 +187,28 @@ class Trainer:
         before = np.empty_like(states)
         flow = np.zeros_like(h)
         ut = np.ascontiguousarray(m.u.T)
+        # What doesn't depend on the gradient from later steps, for all steps at once.
+        zs, ans, news = (np.stack([x[i] for x in trace]) for i in (1, 2, 3))
+        zs, rs = np.ascontiguousarray(zs[..., :n]), np.ascontiguousarray(zs[..., n:])
+        for t, x in enumerate(trace):
+            before[t] = x[0]
+        by_new = (1 - zs) * (1 - news * news)
+        by_z = (before - news) * zs * (1 - zs)
+        by_r = ans * rs * (1 - rs)
         for t in range(len(inputs) - 1, -1, -1):
-            prev, z, r, an, new = trace[t]
             d = d_out[t] + flow
-            dn = d * (1 - z) * (1 - new * new)
+            dn = d * by_new[t]
             g, a = d_in[t], d_a[t]
-            g[:, :n] = d * (prev - new) * z * (1 - z)
-            g[:, n : 2 * n] = dn * an * r * (1 - r)
+            np.multiply(d, by_z[t], out=g[:, :n])
+            np.multiply(dn, by_r[t], out=g[:, n : 2 * n])
             g[:, 2 * n :] = dn
             a[:, : 2 * n] = g[:, : 2 * n]
-            a[:, 2 * n :] = dn * r
-            before[t] = prev
-            flow = (d * z + a @ ut) * keep[t][:, None]
+            np.multiply(dn, rs[t], out=a[:, 2 * n :])
+            flow = (d * zs[t] + a @ ut) * keep[t][:, None]
         s = self.squares
         self.step(m.u, s[1], before.reshape(-1, n).T @ d_a.reshape(-1, 3 * n))
-        self.step(m.wc, s[2], gwc)
-        self.step(m.bc, s[3], gbc)
-        for lo, hi, gw, gb in words:
-            self.step(m.ww[lo:hi], s[4][lo:hi], gw)
-            self.step(m.bw[lo:hi], s[5][lo:hi], gb)
+        for k, (a, grad) in enumerate(zip(m.flat()[2:], grads, strict=True)):
+            self.step(a, s[2 + k], grad)
         ids = inputs.ravel().astype(np.int16)  # as _ids() has them: 16 bits sort by radix
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
@@ -239,9 +256,11 @@ def windows(docs: list[np.ndarray], lanes: int = LANES, steps: int = STEPS) -> I
 
 
 class Vocabulary:
-    """The most frequent words' places and counts; ids of the network: end, out, then its words."""
+    """The most frequent words' places and counts; ids of the network: end, out, then its words. Ids are kept in 16 bits."""
 
     def __init__(self, tokens: list[bytes], counts: list[int], end_count: int, out_count: int, net: int = WORDS):
+        if net > 32_765:
+            raise ValueError("a network has 32,765 words at most: its ids are 16-bit")
         self.place = {w: i for i, w in enumerate(tokens)}
         self.counts = np.array([*counts, 0], np.int64)  # the last: not here
         self.end_count, self.net = end_count, min(net, len(tokens))
@@ -447,9 +466,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     own = F.col("net") + F.col("out_logs") + some("rare_logs") - F.col("n_out") * F.log10(F.lit(out_total))
     both = both.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.round(some("rare_known"))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        base.alias("base_score"), own.alias("score"), F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_copy"),
+        base.alias("base_score"), own.alias("score"), "copies",
     )
-    return both.drop("_copy")
+    return repeated(both, F.col("copies"), "_copy").drop("_copy", "copies")
 
 
 def key_of(text: str | None) -> int:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table, written
+from .common import map_arrow, repeated, table, written
 
 PRIME = (1 << 31) - 1
 ROUNDS = 6
@@ -71,8 +71,7 @@ def numbered(rows: DataFrame, key: list[str], buckets: int | None = None) -> tup
     starts = starts.select("_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("_bucket").orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.withColumn("_at", F.coalesce(F.sum("_copies").over(inside), F.lit(0))).join(starts, "_bucket")
-    first = F.col("_start") + F.col("_at")
-    return placed.select(*key, F.explode(F.sequence(first, first + F.col("_copies") - 1)).alias("row_number")), n
+    return repeated(placed, F.col("_copies"), "row_number", F.col("_start") + F.col("_at")).select(*key, "row_number"), n
 
 
 def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
