@@ -15,6 +15,8 @@ from .common import LOWER, UPPER, table
 
 #: (verdict, rule); host up to the first slash, the path's prefix from there.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+#: Parts that each expression's URLs are dealt to, so that the URLs under a common suffix don't meet in one task.
+SALTS = 16
 #: Distinct lengths that rules' paths may have; the expansion's width.
 MAX_LENGTHS = 4096
 
@@ -36,7 +38,7 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", id_col: str
 
     rules: verdict, host (lower case), path, rule. Of equal expressions a block wins. URLs no rule fits, null
     and malformed ones among them, get `otherwise` and a null rule. Rows with null or repeated ids are judged
-    each by itself; no rules, or an empty table, work as well.
+    each by itself; no rules, or an empty table, work as well. Rules' paths may have MAX_LENGTHS different lengths; more raise ValueError.
     """
     rules = rules.where("host is not null and path is not null")
     # Lengths of rules' paths: bounded, and checked.
@@ -45,21 +47,23 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", id_col: str
         raise ValueError(f"rules have paths of more than {MAX_LENGTHS} lengths")
     host, path = split_url(F.col(url_col))
     urls = pages.select(F.monotonically_increasing_id().alias("_n"), F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # Plain columns first: a lambda that holds an expression computes it again for every element.
+    tries = urls.withColumn("_labels", F.split("host", r"\."))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size("_labels")), lambda i: F.array_join(F.slice("_labels", i, F.size("_labels")), "."))
     prefixes = F.transform(
         F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda k: k <= F.char_length("path")), lambda k: F.substring(F.col("path"), F.lit(1), k)
     )
-    pairs = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
-    urls = urls.withColumn("_tries", F.concat(F.array(F.lit("")), pairs)).select("_n", "page_id", "host", "path", F.posexplode("_tries").alias("_k", "_try"))
+    tries = tries.select("_n", prefixes.alias("_prefixes"), F.explode(suffixes).alias("_h")).select("_n", F.explode(F.transform("_prefixes", lambda p: F.concat(F.col("_h"), p))).alias("_try"))
     digest = lambda c: F.sha2(c, 256)
-    urls = urls.withColumn("_full", digest("_try")).withColumn("_short", F.substring("_full", 1, 8)).drop("_try")
+    tries = tries.withColumn("_full", digest("_try")).withColumn("_short", F.substring("_full", 1, 8)).drop("_try").withColumn("_salt", F.pmod("_n", F.lit(SALTS)).cast("int"))
     known = rules.select(digest(F.concat("host", "path")).alias("_rule_full"), F.struct(F.char_length("rule").alias("n"), F.col("verdict"), F.col("rule")).alias("_best"))
     known = known.groupBy("_rule_full").agg(F.max("_best").alias("_best")).withColumn("_short", F.substring("_rule_full", 1, 8))
-    # A URL's first row has no expression and stays whether or not a rule fits.
-    hit = urls.join(known, "_short", "left").withColumn("_best", F.when((F.col("_full") == F.col("_rule_full")) & (F.col("_k") > 0), F.col("_best")))
-    hit = hit.where("_best is not null or _k = 0")
-    best = hit.groupBy("_n").agg(*(F.max(F.when(F.col("_k") == 0, F.col(c))).alias(c) for c in ("page_id", "host", "path")), F.max("_best").alias("_best"))
+    known = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hit = tries.join(known, ["_short", "_salt"]).where(F.col("_full") == F.col("_rule_full")).select("_n", "_best")
+    # URLs stay whether or not a rule fits: their own rows don't go through the join.
+    blank = hit.schema["_best"].dataType
+    both = urls.withColumn("_best", F.lit(None).cast(blank)).unionByName(hit, allowMissingColumns=True).withColumn("_own", F.col("host").isNotNull())
+    best = both.groupBy("_n").agg(*(F.max(F.when(F.col("_own"), F.col(c))).alias(c) for c in ("page_id", "host", "path")), F.max("_best").alias("_best"))
     return best.select("page_id", "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(otherwise)).alias("verdict"))
 
 
