@@ -113,13 +113,35 @@ def manifest(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_arrow(rows, cut, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key binary, n_bytes long, chunks array<struct<n: int, d: binary>>")
 
 
-def store(docs: DataFrame, listed: DataFrame, text_col: str) -> DataFrame:
+#: A chunk is common if its uses are more than one in this many of all, and HOT at least; so at most COMMON chunks are.
+COMMON, HOT, SALTS = 10_000, 10_000, 32
+
+
+def common_chunks(uses: DataFrame) -> list[bytes]:
+    """Digests of chunks that many payloads use: COMMON of them at most."""
+    n = uses.count()
+    return [bytes(r[0]) for r in uses.groupBy("d").count().where(F.col("count") > max(HOT, n // COMMON)).select("d").collect()]
+
+
+def chunk_join(uses: DataFrame, owners: DataFrame, common: list[bytes]) -> DataFrame:
+    """uses (key, d, ...) joined to one row for each digest d. Uses of common chunks are dealt out over SALTS parts."""
+    if not common:
+        return uses.join(owners, "d")
+    known = F.broadcast(uses.sparkSession.createDataFrame([(bytearray(d), True) for d in common], "d binary, _common boolean"))  # COMMON rows at most
+    part = F.when(F.col("_common"), F.pmod(F.xxhash64("key"), F.lit(SALTS))).otherwise(0).cast("int")
+    every = F.when(F.col("_common"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = uses.join(known, "d", "left").withColumn("_part", part).drop("_common")
+    right = owners.join(known, "d", "left").withColumn("_part", F.explode(every)).drop("_common")
+    return left.join(right, ["d", "_part"]).drop("_part")
+
+
+def store(docs: DataFrame, listed: DataFrame, text_col: str, common: list[bytes] | None = None) -> DataFrame:
     """A written table (key, recipe, blob, complete): each payload once, with the bytes of the chunks it owns."""
     payloads = listed.groupBy("key").agg(F.first("chunks").alias("chunks"))
     uses = payloads.select("key", F.posexplode("chunks").alias("at", "c")).select("key", "at", "c.n", "c.d")
     owners = uses.groupBy("d").agg(F.min(F.struct("key", "at")).alias("o"), F.count("*").alias("uses"))
     owners = owners.select("d", F.col("o.key").alias("_key"), F.col("o.at").alias("_at"), (F.col("uses") > 1).alias("shared"))
-    flagged = uses.join(owners, "d")
+    flagged = chunk_join(uses, owners, common or [])
     own = (F.col("key") == F.col("_key")) & (F.col("at") == F.col("_at"))
     recipes = flagged.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "n", "d", own.alias("own"), "shared"))).alias("recipe"))
 
@@ -200,7 +222,7 @@ def _own_chunks(recipe: list[dict], blob: bytes) -> dict[int, bytes]:
     return out
 
 
-def read_back(kept: DataFrame) -> DataFrame:
+def read_back(kept: DataFrame, common: list[bytes] | None = None) -> DataFrame:
     """FEATURES of every payload in a store, from its stored chunks."""
 
     def alone(batches: Iterator[pa.RecordBatch]):
@@ -227,7 +249,7 @@ def read_back(kept: DataFrame) -> DataFrame:
     lent = kept.where(F.exists("recipe", lambda c: c["own"] & c["shared"])).select("recipe", "blob")
     lent = map_arrow(lent, shared, "d binary, chunk binary")
     wanted = part.select("key", F.explode(F.filter("recipe", lambda c: ~c["own"])).alias("c")).select("key", "c.at", "c.d")
-    fetched = wanted.join(lent, "d").select("key", "at", "chunk")
+    fetched = chunk_join(wanted, lent, common or []).select("key", "at", "chunk")
     none = lambda kind: F.lit(None).cast(kind)
     both = part.select("key", F.lit(-1).alias("at"), "recipe", "blob").unionByName(
         fetched.select("key", "at", none(f"array<{CHUNK}>").alias("recipe"), F.col("chunk").alias("blob"))
@@ -265,7 +287,8 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     aren't read. Tables without rows give none.
     """
     listed = written(manifest(docs, id_col, text_col))
-    found = read_back(store(docs, listed, text_col))
+    common = common_chunks(listed.dropDuplicates(["key"]).select(F.explode("chunks").alias("c")).select("c.d"))
+    found = read_back(store(docs, listed, text_col, common), common)
     out = listed.select("doc_id", "key", "n_bytes").join(found, "key")
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
