@@ -53,6 +53,25 @@ def test_url_rules(spark):
     assert len(none) == len(rows) and {r.verdict for r in none} == {"allow"}
 
 
+def test_one_host_for_all_urls_and_many_rules(spark):
+    """One suffix that all URLs have, against a rule table that is joined, not broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(i, f"http://a{i % 3}.b.com/p{i % 7}/x{i}") for i in range(400)]
+        rules = [("allow", "com/"), ("block", "b.com/p3"), *(("block", f"h{i}.net/p{i}") for i in range(300))]
+        got = as_counter(url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), url_filter.rule_table(spark, rules)).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == as_counter((i, *judged(u, rules)) for i, u in rows)
+
+
+def test_lengths_of_rules_have_a_stated_limit(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MAX_LENGTHS", 3)
+    pages = spark.createDataFrame([(1, "http://a.org/x")], "page_id long, url string")
+    with pytest.raises(ValueError, match="3 lengths"):
+        url_filter.judge(pages, url_filter.rule_table(spark, [("allow", "a.org/" + "x" * i) for i in range(4)]))
+
+
 def test_block_wins_between_equal_rules(spark):
     pages = spark.createDataFrame([(1, "http://a.org/x")], "page_id long, url string")
     rules = url_filter.rule_table(spark, (("block", "a.org/"), ("allow", "a.org/")))

@@ -46,6 +46,19 @@ def test_shards(spark, odd, odd_rows, none):
     assert sharding.shard(none, 4).count() == 0
 
 
+def test_many_copies_come_in_blocks(spark, monkeypatch):
+    from gleanery.llm import common
+
+    monkeypatch.setattr(common, "COPIES", 7)
+    same = spark.createDataFrame([(1, "x")] * 100 + [(2, "y")], "doc_id long, text string")
+    got = sharding.shard(same, 4).collect()
+    assert sorted(r.row_number for r in got) == list(range(101)) and Counter(r.doc_id for r in got) == {1: 100, 2: 1}
+    from pyspark.sql import functions as F
+
+    none = spark.createDataFrame([(0,), (15,)], "n long")
+    assert sorted(r.i for r in common.repeated(none, F.col("n"), "i").collect()) == list(range(15))
+
+
 # --- mixing
 
 
@@ -112,6 +125,42 @@ def test_demand_time_inverts_the_integral(spark):
             assert abs(t + slope * (t * t - t) - q) < 1e-9
 
 
+def test_schedules_are_integrated_and_inverted(spark):
+    """Sources with schedules of their own: shares by their integrals, positions by the inverse of the running integral."""
+    rng = np.random.default_rng(0)
+    docs = [(i, " ".join(["w"] * int(n)), ("a", "b", None)[i % 3]) for i, n in enumerate(rng.integers(1, 40, 3000))]
+    plan = {"a": [(0.0, 4.0), (0.5, 0.0), (1.0, 0.0)], "b": [(0.25, 0.0), (1.0, 3.0)], None: [(0.3, 2.0)]}
+    got = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string"), schedules=plan).collect()
+    area = {"a": 1.0, "b": 1.125, None: 2.0}
+    want = {}
+    sizes = Counter()
+    for r in got:
+        sizes[r.source] += r["size"]
+    total = sum(sizes.values())
+    for s in area:
+        want[s] = total * area[s] / sum(area.values())
+        own = [r for r in got if r.source == s]
+        assert abs(own[0].target - want[s]) < 1e-6 * total and abs(sum(r.taken for r in own) - want[s]) < 0.01 * want[s]
+        words, times = 0, sorted((x, r["size"]) for r in own for x in r.positions)
+        grid = np.linspace(0, 1, 2001)
+        w = np.interp(grid, [t for t, _ in plan[s]], [v for _, v in plan[s]])
+        c = np.r_[0, np.cumsum((w[1:] + w[:-1]) / 2)] / 2000 / area[s]
+        for x, n in times[:: len(times) // 40]:
+            before = sum(m for y, m in times if y < x)
+            assert abs(np.interp(x, grid, c) - before / want[s]) < 0.01
+    with pytest.raises(ValueError, match="schedule"):
+        mixing.schedule_table(spark, {"a": [(2.0, 1.0)]})
+
+
+def test_null_ids_do_not_gather(spark):
+    docs = spark.createDataFrame([(None, f"text number {i}", "s") for i in range(500)], "doc_id long, text string, source string")
+    assert mixing.mix(docs).where("taken > 0").count() == 500
+    assert [r.taken for r in mixing.mix(docs.limit(3).selectExpr("doc_id", "' ' as text", "source")).collect()] == [0, 0, 0]
+    from pyspark.sql import functions as F
+
+    assert docs.select(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string")))).distinct().count() == 500
+
+
 # --- near-duplicates
 
 
@@ -312,6 +361,24 @@ def test_each_chunk_is_stored_once(spark):
     assert media.read_back(kept).count() == 3
 
 
+def test_common_chunks_are_dealt_out(spark, monkeypatch):
+    """A chunk that nearly all payloads share: its uses go over several parts, and results stay."""
+    rng = np.random.default_rng(4)
+    part = bytes(rng.integers(97, 123, 20000, np.uint8)).decode()
+    docs = spark.createDataFrame([(i, part + f" {i} " * 100) for i in range(60)] + [(99, None)], "doc_id long, text string")
+    want = as_counter(media.media_column(docs).collect())
+    monkeypatch.setattr(media, "HOT", 5)
+    listed = media.manifest(docs, "doc_id", "text").cache()
+    from pyspark.sql import functions as F
+
+    uses = listed.select("key", F.explode("chunks").alias("c")).select("key", "c.d")
+    common = media.common_chunks(uses)
+    assert common
+    joined = media.chunk_join(uses, uses.select("d").distinct().withColumn("one", F.lit(1)), common)
+    assert joined.count() == uses.count()
+    assert as_counter(media.media_column(docs).collect()) == want
+
+
 def test_damage_is_found():
     box = media.container([b"abc", b"de"], [media.digest(b"abc"), media.digest(b"de")])
     with pytest.raises(ValueError, match="digest"):
