@@ -2,8 +2,9 @@
 
 Unit vectors are turned into principal axes, so leading dimensions hold most of a product. Two tiles of vectors
 accumulate the leading dimensions first; what the rest can add is at most the product of the suffix norms
-(Cauchy-Schwarz), and a pair stops once even that cannot reach the threshold. Tiles hold neighbours along the
-first axis: unit vectors of cosine c are sqrt(2 - 2c) apart at most, along any axis, so far tiles never meet.
+(Cauchy-Schwarz), and a pair stops once even that cannot reach the threshold. Unit vectors of cosine c are
+sqrt(2 - 2c) apart at most. Tiles are boxes in the leading dimensions and the norm of the rest: two tiles meet only if their boxes are
+that near, and a vector goes only to boxes that near to itself.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import components, map_arrow, table, written
 
 THRESHOLD = 0.98
-#: Vectors in a tile at most, and dimensions accumulated at a time.
+#: Vectors in a tile or so, and dimensions accumulated at first.
 TILE = 1024
 LEAD = 8
 #: Rounding of the bounds; the decision itself uses plain double products.
@@ -101,17 +102,35 @@ def spanning(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def tiles(reps: DataFrame, threshold: float) -> DataFrame:
-    """reps (label, p, ...) with `tile`: consecutive ones by p, of TILE at most, in each label; and (lo, hi) of each.
+def cells(at: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """at (label, p, ...) with its `cell`; and (label, cell, parts, lo, hi) of each cell.
 
-    Labels are cut into cells along p by a grid as wide as linked vectors may be apart, cells by a hash of the
-    vector into tiles: no sort of a whole label, and the number of a cell's tiles follows its size.
+    p: leading coordinates and the norm of the rest. A grid as wide as linked vectors may be apart cuts the leading axes, the more of
+    them the more vectors a label has, so that a cell holds some TILE of them. A cell with more has several tiles of
+    the same box: rows are dealt out by a hash, and no label is sorted.
     """
     width = (2 - 2 * threshold) ** 0.5 + 1e-9
-    out = reps.withColumn("cell", F.floor((F.col("p") + 1) / width).cast("int"))
-    sizes = out.groupBy("label", "cell").agg(F.count("*").alias("_n"))
-    sizes = sizes.withColumn("parts", F.ceil(F.col("_n") / TILE).cast("int")).drop("_n")
-    return out, sizes
+    n = at.groupBy("label").agg(F.least(F.ceil(F.greatest(F.log2(F.count("*") / F.lit(TILE)), F.lit(0.0))), F.lit(LEAD)).cast("int").alias("depth"))
+    out = at.join(n, "label").withColumn("cell", F.transform(F.slice("p", F.lit(1), F.greatest(F.col("depth"), F.lit(1))), lambda x: F.floor((x + 1) / width).cast("int"))).drop("depth")
+    places = range(len(at.select("p").first()[0]))
+    edges = [f(F.col("p")[i]).alias(f"{name}{i}") for i in places for name, f in (("lo", F.min), ("hi", F.max))]
+    boxes = out.groupBy("label", "cell").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"), *edges)
+    return out, boxes.select("label", "cell", "parts", F.array(*(f"lo{i}" for i in places)).alias("lo"), F.array(*(f"hi{i}" for i in places)).alias("hi"))
+
+
+def apart(lo: Column, hi: Column, lo2: Column, hi2: Column) -> Column:
+    """The squared distance of two boxes."""
+    gap = F.zip_with(F.zip_with(lo2, hi, lambda a, b: a - b), F.zip_with(lo, hi2, lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0)))
+    return F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x)
+
+
+def meetings(boxes: DataFrame, threshold: float) -> DataFrame:
+    """(label, cell, other, parts, lo, hi, first): each cell with each that may hold a vector linked to one of its own, itself too; parts
+    and box are the other's. Cells meet by the first coordinate, one step apart at most, and then by their boxes."""
+    far = 2 - 2 * threshold + SLACK
+    a = boxes.select("label", "cell", F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), F.explode(F.array(*(F.col("cell")[0] + i for i in (-1, 0, 1)))).alias("k"))
+    b = boxes.select(F.col("label"), F.col("cell").alias("other"), "parts", "lo", "hi", F.col("cell")[0].alias("k"))
+    return a.join(b, ["label", "k"]).where(apart(F.col("lo1"), F.col("hi1"), F.col("lo"), F.col("hi")) <= far).select("label", "cell", "other", "parts", "lo", "hi")
 
 
 def find(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -154,31 +173,38 @@ def _of_width(rows: DataFrame, width: int, threshold: float) -> DataFrame:
     distinct = rows.where("ok").groupBy("label", "v").agg(F.count("*").alias("copies"), F.min("vec_id").alias("low"))
     reps = written(distinct.withColumn("rep", F.monotonically_increasing_id()))
     turn = reps.sparkSession.sparkContext.broadcast(axes(reps, width))  # width**2 doubles
-    lead = np.ascontiguousarray(turn.value[:, 0])
+    lead = np.ascontiguousarray(turn.value[:, :LEAD])
 
     def place(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(unit(_matrix(b.column("v"), width)) @ lead)], names=[*b.schema.names, "p"])
+            x = unit(_matrix(b.column("v"), width))
+            p = x @ lead
+            rest = np.sqrt(np.maximum(1 - (p * p).sum(1), 0)) if width > LEAD else np.zeros(len(p))
+            flat = np.column_stack([p, rest]).ravel()
+            ends = pa.array(np.arange(len(p) + 1, dtype=np.int32) * (lead.shape[1] + 1))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(ends, pa.array(flat))], names=[*b.schema.names, "p"])
 
     label = reps.schema["label"].dataType.simpleString()
-    at = map_arrow(reps.select("label", "v", "copies", "rep"), place, f"label {label}, v array<double>, copies long, rep long, p double")
-    at, sizes = tiles(at, threshold)
-    sizes = written(sizes)
-    here = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    at = at.join(sizes, ["label", "cell"]).withColumn("mine", here)
-    # Within a cell every two tiles meet; and every tile of a cell meets every one of the next.
-    after = sizes.select("label", (F.col("cell") - 1).alias("cell"), F.col("parts").alias("next_parts"))
-    before = sizes.select("label", (F.col("cell") + 1).alias("cell"), F.col("parts").alias("last_parts"))
-    at = at.join(after, ["label", "cell"], "left").join(before, ["label", "cell"], "left")
-    seq = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    task = lambda cell, kind, i, j, side: F.struct(cell.alias("c"), F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
-    inside = F.transform(seq(F.col("parts")), lambda j: task(F.col("cell"), 0, F.least("mine", j), F.greatest("mine", j), 0))
-    ahead = F.transform(seq(F.coalesce("next_parts", F.lit(0))), lambda j: task(F.col("cell"), 1, F.col("mine"), j, 0))
-    behind = F.transform(seq(F.coalesce("last_parts", F.lit(0))), lambda j: task(F.col("cell") - 1, 1, j, F.col("mine"), 1))
-    met = at.select("label", "rep", "copies", "v", "mine", F.explode(F.concat(inside, ahead, behind)).alias("t"))
-    met = met.select("label", "rep", "copies", "v", "mine", "t.c", "t.kind", "t.i", "t.j", "t.side")
-    key = ["label", "c", "kind", "i", "j"]
-    met = met.repartition(*key).sortWithinPartitions(*key)
+    at = map_arrow(reps.select("label", "v", "copies", "rep"), place, f"label {label}, v array<double>, copies long, rep long, p array<double>")
+    at, boxes = cells(at, threshold)
+    boxes = written(boxes)
+    own = boxes.select("label", "cell", F.col("parts").alias("own_parts"))
+    met = meetings(boxes, threshold).join(own, ["label", "cell"])
+    met = met.groupBy("label", "cell", "own_parts").agg(F.collect_list(F.struct("other", "parts", "lo", "hi")).alias("others"))  # neighbouring cells
+    sent = at.join(met, ["label", "cell"]).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("own_parts")).cast("int"))
+    near = F.filter("others", lambda o: apart(F.col("p"), F.col("p"), o["lo"], o["hi"]) <= 2 - 2 * threshold + SLACK)
+    sent = sent.select("label", "rep", "copies", "v", "mine", "cell", F.explode(near).alias("o"))
+    sent = sent.select("label", "rep", "copies", "v", "mine", "cell", "o.other", F.explode(F.sequence(F.lit(0), F.col("o.parts") - 1)).alias("j"))
+    # A task is a pair of tiles; the lesser cell's comes first, within a cell the lesser tile.
+    less, same = F.col("cell") < F.col("other"), F.col("cell") == F.col("other")
+    swap = ~less & ~same
+    met = sent.select(
+        "label", "rep", "copies", "v", "mine", F.when(swap, F.col("other")).otherwise(F.col("cell")).alias("c"), F.when(swap, F.col("cell")).otherwise(F.col("other")).alias("c2"),
+        (~same).cast("int").alias("kind"), F.when(less, F.col("mine")).when(same, F.least("mine", "j")).otherwise(F.col("j")).alias("i"),
+        F.when(less, F.col("j")).when(same, F.greatest("mine", "j")).otherwise(F.col("mine")).alias("j"), swap.cast("int").alias("side"),
+    )
+    key = ["label", "c", "c2", "i", "j"]
+    met = met.withColumns({"c": F.array_join("c", ","), "c2": F.array_join("c2", ",")}).repartition(*key).sortWithinPartitions(*key)
 
     def compare(batches: Iterator[pa.RecordBatch]):
         for group in groups(batches, key):

@@ -155,7 +155,7 @@ def vectors(width, n, seed):
     return [(i, (base[i % 12] * rng.uniform(0.5, 2) + rng.normal(size=width) * rng.choice([0.02, 0.12, 0.25])).tolist(), [0, 0, 0, 1, None][i % 5]) for i in range(n)]
 
 
-@pytest.mark.parametrize(("width", "tile"), [(64, 1024), (16, 7), (3, 1024)])
+@pytest.mark.parametrize(("width", "tile"), [(64, 1024), (16, 7), (3, 1024), (64, 2), (8, 3), (1, 4)])
 def test_embeddings(spark, width, tile, monkeypatch):
     monkeypatch.setattr(embeddings, "TILE", tile)
     rows = vectors(width, 160, width)
@@ -168,6 +168,16 @@ def test_embeddings(spark, width, tile, monkeypatch):
     assert embeddings.find(df.limit(0)).count() == 0
 
 
+def test_boxes_bound_distances(spark):
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=(40, 3)), rng.normal(size=(30, 3)) + 1
+    box = lambda v: (v.min(0).tolist(), v.max(0).tolist())
+    df = spark.createDataFrame([(*box(x), *box(y))], "a array<double>, b array<double>, c array<double>, d array<double>")
+    far = df.select(embeddings.apart(F.col("a"), F.col("b"), F.col("c"), F.col("d"))).first()[0]
+    gap = np.maximum(np.maximum(y.min(0) - x.max(0), x.min(0) - y.max(0)), 0)
+    assert math.isclose(far, (gap**2).sum()) and far <= min(((p - q) ** 2).sum() for p in x for q in y)
+
+
 # --- language model
 
 
