@@ -9,6 +9,7 @@ that near, and a vector goes only to boxes that near to itself.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import components, map_arrow, table, written
 
 THRESHOLD = 0.98
-#: Vectors in a tile or so, and dimensions accumulated at first.
-TILE = 1024
+#: Vectors in a tile or so, those of it that are multiplied at a time, and dimensions accumulated at first.
+TILE, BLOCK = 4096, 1024
 LEAD = 8
 #: Rounding of the bounds; the decision itself uses plain double products.
 SLACK = 1e-9
@@ -105,13 +106,14 @@ def spanning(near: np.ndarray) -> list[tuple[int, int]]:
 def cells(at: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """at (label, p, ...) with its `cell`; and (label, cell, parts, lo, hi) of each cell.
 
-    p: leading coordinates and the norm of the rest. A grid as wide as linked vectors may be apart cuts the leading axes, the more of
-    them the more vectors a label has, so that a cell holds some TILE of them. A cell with more has several tiles of
+    p: leading coordinates and the norm of the rest. A grid as wide as linked vectors may be apart cuts the leading axes, one for every time
+    that a label has thrice TILE vectors, so that a cell holds some TILE of them. A cell with more has several tiles of
     the same box: rows are dealt out by a hash, and no label is sorted.
     """
     width = (2 - 2 * threshold) ** 0.5 + 1e-9
-    n = at.groupBy("label").agg(F.least(F.ceil(F.greatest(F.log2(F.count("*") / F.lit(TILE)), F.lit(0.0))), F.lit(LEAD)).cast("int").alias("depth"))
-    out = at.join(n, "label").withColumn("cell", F.transform(F.slice("p", F.lit(1), F.greatest(F.col("depth"), F.lit(1))), lambda x: F.floor((x + 1) / width).cast("int"))).drop("depth")
+    n = at.groupBy("label").agg(F.least(F.floor(F.greatest(F.log(F.count("*") / F.lit(TILE)) / math.log(3), F.lit(0.0))), F.lit(LEAD)).cast("int").alias("depth"))
+    grid = F.transform(F.slice("p", F.lit(1), F.col("depth")), lambda x: F.floor((x + 1) / width).cast("int"))
+    out = at.join(n, "label").withColumn("cell", F.when(F.col("depth") > 0, grid).otherwise(F.array(F.lit(0)))).drop("depth")
     places = range(len(at.select("p").first()[0]))
     edges = [f(F.col("p")[i]).alias(f"{name}{i}") for i in places for name, f in (("lo", F.min), ("hi", F.max))]
     boxes = out.groupBy("label", "cell").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"), *edges)
@@ -213,23 +215,29 @@ def _of_width(rows: DataFrame, width: int, threshold: float) -> DataFrame:
             y = x @ turn.value
             kind, i, j = (group.column(c)[0].as_py() for c in ("kind", "i", "j"))
             mine, side = group.column("mine").to_numpy(), group.column("side").to_numpy()
-            own = linked(x, x, y, y, threshold) if kind == 0 and i == j else None
-            if own is None:
-                s, t = (side == 0, side == 1) if kind else (mine == i, mine == j)
-                own = np.zeros((len(rep), len(rep)), bool)
-                cross = linked(x[s], x[t], y[s], y[t], threshold)
-                own[np.ix_(s, t)] = cross
-                own |= own.T
-            np.fill_diagonal(own, False)
-            count = own @ copies
-            tree = spanning(own)
+            s, t = np.flatnonzero(side == 0 if kind else mine == i), np.flatnonzero(side == 1 if kind else mine == j)
+            itself, count, ends = kind == 0 and i == j, np.zeros(len(rep), np.int64), []
+            for m in range(0, len(s), BLOCK):
+                for n in range(m if itself else 0, len(t), BLOCK):
+                    a, b = s[m : m + BLOCK], t[n : n + BLOCK]
+                    near = linked(x[a], x[b], y[a], y[b], threshold)
+                    if itself and m == n:
+                        near |= near.T
+                        np.fill_diagonal(near, False)
+                        count[a] += near @ copies[b]
+                        ends += [(a[k], a[l]) for k, l in spanning(near)]
+                    elif near.any():
+                        count[a] += near @ copies[b]
+                        count[b] += copies[a] @ near
+                        both, own = np.r_[a, b], np.zeros((len(a) + len(b),) * 2, bool)
+                        own[: len(a), len(a) :] = near
+                        own[len(a) :, : len(a)] = near.T
+                        ends += [(both[k], both[l]) for k, l in spanning(own)]
             some = np.flatnonzero(count)
+            one, two = (rep[[e[k] for e in ends]] if ends else np.zeros(0, np.int64) for k in (0, 1))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.r_[rep[some], rep[[a for a, _ in tree]] if tree else np.zeros(0, np.int64)]),
-                 pa.array([None] * len(some) + [int(rep[b]) for _, b in tree], pa.int64()),
-                 pa.array(count[some].tolist() + [0] * len(tree), pa.int64())],
-                names=["a", "b", "n"],
-            )
+                [pa.array(np.r_[rep[some], one]), pa.array([None] * len(some) + two.tolist(), pa.int64()), pa.array(count[some].tolist() + [0] * len(ends), pa.int64())], names=["a", "b", "n"]
+            )
 
     found = written(map_arrow(met, compare, "a long, b long, n long"))
     counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))

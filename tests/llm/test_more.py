@@ -158,6 +158,7 @@ def vectors(width, n, seed):
 @pytest.mark.parametrize(("width", "tile"), [(64, 1024), (16, 7), (3, 1024), (64, 2), (8, 3), (1, 4)])
 def test_embeddings(spark, width, tile, monkeypatch):
     monkeypatch.setattr(embeddings, "TILE", tile)
+    monkeypatch.setattr(embeddings, "BLOCK", 16)
     rows = vectors(width, 160, width)
     zero = [0.0] * width
     rows += [(200, None, 0), (201, zero, 0), (202, zero, 0), (203, [None] + [1.0] * (width - 1), 0), (204, [math.nan] + [1.0] * (width - 1), 0), (205, [math.inf] * width, 0), (206, [1.0] * (width - 1), 0)]
