@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import FOLDS, NEIGHBOURS, SEED
+from ..functions import text as text_functions
 from ..functions.html import extractor, page_text
 from ..functions.text import annotation, label, technician
 from ..operators import classifiers, folds, metrics, profiles, report, vectors
@@ -228,6 +229,53 @@ def html_selector_extract(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", f("html", F.lit("article p, div > p:nth-child(1)")).alias("x")).select("page_id", "x.text", "x.step")
 
 
+# Pages of a few lines each: (name, page, selector, text, step).
+PAGES = (
+    ("selector", "<div id='a'><p class='x'>Uno <b>dos</b></p><p>tres</p></div><p>fuera</p>", "#a p", "Uno dos tres", "selector"),
+    ("child", "<div><p>uno</p><section><p>dos</p></section></div>", "div > p", "uno", "selector"),
+    ("attribute", "<p data-k='v'>si</p><p>no</p>", "p[data-k=v]", "si", "selector"),
+    ("nth", "<ul><li>a</li><li>b</li></ul>", "li:nth-child(2)", "b", "selector"),
+    ("no hit, then title", "<h2>Perfil de egreso</h2><p>texto  uno</p><p>dos</p>", ".none", "texto uno dos", "priority"),
+    ("priority title", "<h2>PERFIL DE EGRESO</h2><p>uno</p><ul><li>dos</li></ul><h2>Otro</h2><p>tres</p>", "-", "uno dos", "priority"),
+    ("priority before secondary", "<h2>Competencias</h2><p>uno</p><h3>Perfil de egreso</h3><p>dos</p>", "", "dos", "priority"),
+    ("secondary title", "<h3>Campo laboral</h3><p>uno</p>", "-", "uno", "secondary"),
+    ("next block", "<div><strong>Perfil profesional</strong></div><div>bloque</div>", "-", "bloque", "priority"),
+    ("stop at a heading", "<h2>Perfil de egreso</h2><p>uno</p><h3>fin</h3><p>dos</p>", "-", "uno", "priority"),
+    ("entities and spaces", "<p id='t'>a&nbsp;b &amp; c\n\td</p>", "#t", "a b & c d", "selector"),
+    ("nothing", "<h2>Otra cosa</h2><p>uno</p>", "-", "", "none"),
+    ("empty", "", "p", "", "none"),
+)
+
+
+def html_cases(spark, sf_dir):
+    """Small pages with what their extraction gives."""
+    f = extractor()
+    pages = spark.createDataFrame([(n, h, s) for n, h, s, _, _ in PAGES], "name string, html string, selector string")
+    return pages.select("name", f("html", "selector").alias("x")).select("name", "x.text", "x.step")
+
+
+PAGES_SQL = "select * from (values " + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in (n, t, st)) + ")" for n, _, _, t, st in PAGES) + ") as t(name, text, step)"
+
+
+def duplicates_by_customer_priority(spark, sf_dir):
+    return profiles.duplicates(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), "o_custkey", "o_orderpriority")
+
+
+def profile_columns(spark, sf_dir):
+    """Customers as profiles: blank names left out, nulls filled, columns found by their names, in order, one moved, all repaired."""
+    c = table(spark, sf_dir, "customer")
+    name = F.when(F.col("c_custkey") % 7 == 0, None).when(F.col("c_custkey") % 5 == 0, F.lit(" ")).otherwise(F.concat(F.lit("Ã±and "), "c_name"))
+    rows = c.select(F.col("c_custkey").cast("string").alias("url"), name.alias("carrera"), F.when(F.col("c_nationkey") > 3, F.col("c_mktsegment")).alias("universidad"))
+    assert profiles.find_column(rows.columns, ("Universidad ",)) == "universidad"
+    return profiles.place_after(text_functions.repair_all(profiles.fill_text(profiles.in_order(profiles.usable(rows, "carrera")))), "universidad", "carrera")
+
+
+def class_order(spark, sf_dir):
+    """Known classes in their order, then the others sorted."""
+    found = [r[0] for r in table(spark, sf_dir, "orders").select("o_orderpriority").distinct().collect()]
+    return spark.createDataFrame(list(enumerate(profiles.class_order(("5-LOW", "9-NONE", "2-HIGH"), found))), "place long, cls string")
+
+
 def embedded(spark, sf_dir) -> DataFrame:
     rows = classifiers.coded(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"), "label")
     return rows.select(F.col("vec_id").alias("id"), "c", F.col("embedding").cast("array<double>").alias("v"))
@@ -254,6 +302,32 @@ def benchmark_models(spark, sf_dir, names=classifiers.NAMES, n_folds: int = FOLD
     return _rounded(metrics.ranking(_judged(classifiers.cross_validated(rows, parts, names, n_folds))))
 
 
+def out_of_fold_simple(spark, sf_dir):
+    """Predictions of nearest neighbours and naive Bayes for every embedding, each by the other folds, without oversampling."""
+    rows = embedded(spark, sf_dir)
+    parts = folds.stratified(rows.withColumn("at", F.col("id")), ["id"], "c", "at").select("id", "fold")
+    return classifiers.cross_validated(rows, parts, ("knn", "naive_bayes"), oversample=False)
+
+
+SIMPLE = f"""
+with d as (select vec_id as id, dense_rank() over (order by cast(label as varchar)) - 1 as c, cast(embedding as double[]) as v from embeddings),
+first as (select c, min(id) as first from d group by c),
+f as (select id, c, v, (row_number() over (order by first, c, md5(concat_ws('|', '{SEED}', id)), id) - 1) % {FOLDS} as fold from d join first using (c)),
+near as (select a.id, a.c, a.fold, b.c as o, row_number() over (partition by a.id order by round(list_distance(a.v, b.v), 9), b.id) as r from f a join f b on a.fold <> b.fold),
+votes as (select id, c, fold, o, count(*) as n from near where r <= {NEIGHBOURS} group by all),
+knn as (select id, c, fold, o as predicted, row_number() over (partition by id order by n desc, o) as r from votes),
+x as (select id, c, fold, unnest(range(len(v))) as i, unnest(v) as x from f),
+k as (select unnest(range({FOLDS})) as k),
+low as (select k, least(min(x), 0) as low from x join k on fold <> k group by k),
+s as (select k, c, i, sum(x - low) + 1 as s from x join low on fold <> k group by k, c, i),
+lp as (select k, c as o, i, ln(s / sum(s) over (partition by k, c)) as lp from s),
+pri as (select k, c as o, ln(count(*) / cast(sum(count(*)) over (partition by k) as double)) as p from f join k on fold <> k group by k, c),
+sc as (select id, x.c, fold, lp.o, sum((x - low) * lp) + max(p) as s from x join lp on lp.k = fold and lp.i = x.i join low on low.k = fold join pri on pri.k = fold and pri.o = lp.o group by id, x.c, fold, lp.o),
+nb as (select id, c, fold, o as predicted, row_number() over (partition by id order by s desc, o) as r from sc)
+select 'knn' as model, cast(fold as integer) as fold, id, cast(c as integer) as c, cast(predicted as integer) as predicted from knn where r = 1
+union all select 'naive_bayes', cast(fold as integer), id, cast(c as integer), cast(predicted as integer) from nb where r = 1"""
+
+
 def text_folds(spark, sf_dir, n_folds: int = FOLDS) -> DataFrame:
     docs = vectors.documents(table(spark, sf_dir, "documents"), "doc_id", "lang", "text").withColumn("id", F.col("id").cast("long"))
     ids = classifiers.coded(docs.select("id", "cls"), "cls")
@@ -307,6 +381,11 @@ QUERIES = {
     "fold_metrics": (fold_metrics, PRED + _by("fold") + " select fold, n, " + ", ".join(f"round({c}, 6) as {c}" for c in metrics.MEASURES) + " from m"),
     "fold_summary": (fold_summary, PRED + _by("fold") + f" select {SUMMARY} from m"),
     "model_ranking": (model_ranking, PRED + _by("model, fold") + f", r as (select model, {SUMMARY} from m group by model) select *, row_number() over (order by f1_macro_mean desc, balanced_accuracy_mean desc, accuracy_mean desc, model) as place from r"),
+    "html_cases": (html_cases, PAGES_SQL),
+    "duplicates_by_customer_priority": (duplicates_by_customer_priority, "select o_orderkey, o_custkey, o_orderpriority from (select *, count(*) over (partition by o_custkey, o_orderpriority) as n from orders) where n > 1"),
+    "profile_columns": (profile_columns, "select 'ñand ' || c_name as carrera, case when c_nationkey > 3 then c_mktsegment else '' end as universidad, cast(c_custkey as varchar) as url from customer where c_custkey % 7 <> 0 and c_custkey % 5 <> 0"),
+    "class_order": (class_order, "select row_number() over (order by case cls when '5-LOW' then 0 when '2-HIGH' then 1 else 2 end, cls) - 1 as place, cls from (select distinct o_orderpriority as cls from orders)"),
+    "out_of_fold_simple": (out_of_fold_simple, SIMPLE),
     "html_text": (html_text, None),
     "html_context_extract": (html_context_extract, None),
     "html_selector_extract": (html_selector_extract, None),

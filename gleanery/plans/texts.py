@@ -61,6 +61,14 @@ def intra_inter_similarity(spark, sf_dir):
     return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
 
 
+def document_cosine(spark, sf_dir):
+    """Documents whose id is divisible by 50 against all others."""
+    _, _, counts, _ = corpus(spark, sf_dir)
+    rows = vectors.tfidf(counts)
+    out = vectors.document_similarity(rows, rows.where("id % 50 = 0"))
+    return out.select("id_a", "id_b", F.round("similarity", 6).alias("similarity"))
+
+
 KEY = TOK + """,
 grid as (select cls, term, coalesce(f, 0) as f, coalesce(docs, 0) as docs from sizes cross join voc
          left join (select cls, term, cast(sum(tf) as bigint) as f, count(*) as docs from w group by cls, term) using (cls, term)),
@@ -205,6 +213,7 @@ QUERIES = {
               (select sum(t * t) from (select sum(s) as t from s group by term)) as all2),
         m as (select (own2 - q) / 2 / ip as intra, ((all2 - q) - (own2 - q)) / 2 / (n * (n - 1) / 2 - ip) as inter from k)
         select round(intra, 6) as intra, round(inter, 6) as inter, round(intra - inter, 6) as difference from m"""),
+    "document_cosine": (document_cosine, VEC + " select a.id as id_a, b.id as id_b, round(sum(a.x * b.x), 6) as similarity from vec a join vec b using (term) where a.id % 50 = 0 and a.id <> b.id group by 1, 2"),
     "report_terms": (report_terms, KEY + "select cls, string_agg(term, ', ' order by rank) as terms from top where rank <= 15 group by cls"),
     "multinomial_nb_predict": (multinomial_nb_predict, NB),
     "permutation_test": (permutation_test, PERM),

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.profiles import check_columns
+from ..operators.profiles import by_name, check_columns
 
 SITE = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("universidad", "tipo_institucion", "carrera", "tipo_carrera", "url", "tipo_extraccion", "selector")]
@@ -40,9 +41,27 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, schema=None
     return df
 
 
-def write_csv(df: DataFrame, path: str, sep: str = ";", quote_all: bool = True) -> None:
-    """A CSV table with a header in as many files as df has partitions."""
-    df.write.mode("overwrite").option("header", True).option("sep", sep).option("quoteAll", quote_all).option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, sep: str = ";", quote_all: bool = True, bom: bool = False, order_by: str | None = None) -> None:
+    """A CSV table with a header in as many files as df has partitions. bom: each file starts with a byte order mark, for spreadsheets.
+    order_by: a column that rows are sorted by across files, nulls last."""
+    if order_by:
+        df = by_name(df, order_by)
+    options = {"sep": sep, "quoteAll": str(quote_all).lower(), "escape": '"', "timestampFormat": "yyyy-MM-dd HH:mm:ss"}
+    if not bom:
+        df.write.mode("overwrite").options(header=True, **options).csv(path)
+        return
+    quoted = sep.join('"' + c.replace('"', '""') + '"' if quote_all else c for c in df.columns)
+    head = "\ufeff" + quoted
+    lines = df.select(F.to_csv(F.struct(*(F.col(f"`{c}`") for c in df.columns)), options).alias("value"))
+
+    def with_head(batches):
+        first = True
+        for b in batches:
+            values = b.column("value").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([head] * first + values)], names=["value"])
+            first = False
+
+    lines.mapInArrow(with_head, "value string").write.mode("overwrite").text(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -55,4 +74,5 @@ def to_json(df: DataFrame, name: str = "json") -> DataFrame:
 
 
 def save_model(model, path: str) -> None:
+    """A fitted Spark model; classifiers.TextModel saves itself."""
     model.write().overwrite().save(path)

@@ -17,8 +17,13 @@ from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-# Waiting between requests and the limit of one, in seconds.
+# Waiting between requests and the limit of one, in seconds; the agents that a request may name, one at random each time.
 PAUSE, TIMEOUT = (2.0, 5.0), 30
+AGENTS = (
+    "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/115.0.0.0 Safari/537.36",
+    "Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15_7) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/14.1.2 Safari/605.1.15",
+    "Mozilla/5.0 (Windows NT 10.0; Win64; x64; rv:109.0) Gecko/20100101 Firefox/115.0",
+)
 
 
 def plain_fetch(url: str, verify: bool) -> str:
@@ -26,7 +31,7 @@ def plain_fetch(url: str, verify: bool) -> str:
     import urllib.request
 
     context = ssl.create_default_context() if verify else ssl._create_unverified_context()
-    with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": "Mozilla/5.0"}), timeout=TIMEOUT, context=context) as r:
+    with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": random.choice(AGENTS)}), timeout=TIMEOUT, context=context) as r:
         return r.read().decode(r.headers.get_content_charset() or "utf-8", "replace")
 
 
