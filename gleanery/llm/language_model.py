@@ -12,7 +12,7 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,15 +50,38 @@ def class_bounds(counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
 _ONES: dict[tuple, np.ndarray] = {}
 
 
-def exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
-    """exp(logits - top), sums by row, and top: 0, or each row's largest logit where exp overflows or vanishes."""
+#: Words of consecutive classes that are scored as one block: small classes cost more calls than products.
+BLOCK_WORDS = 96
+
+
+def class_blocks(bounds: np.ndarray) -> list[tuple[int, int, np.ndarray | None]]:
+    """(first class, last class + 1, mask) of blocks of classes, end and out left out: a mask says which of a block's words are in which of its classes,
+    None for a block of one class."""
+    out, c = [], 2
+    while c < len(bounds) - 1:
+        d = c + 1
+        while d < len(bounds) - 1 and bounds[d + 1] - bounds[c] <= BLOCK_WORDS:
+            d += 1
+        own = np.searchsorted(bounds, np.arange(bounds[c], bounds[d]), "right") - 1
+        out.append((c, d, (own == np.arange(c, d)[:, None]).astype(np.float32) if d - c > 1 else None))
+        c = d
+    return out
+
+
+def exponentials(logits: np.ndarray, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """exp(logits - top), sums by row, and top: 0, or each row's largest logit where exp overflows or vanishes. mask: 0 for
+    what a row leaves out."""
     key = logits.shape[1], logits.dtype
     if key not in _ONES:
         _ONES[key] = np.ones(*key)
     e = np.exp(logits)
+    if mask is not None:
+        e *= mask
     s = e @ _ONES[key]
     if s.max() < 1e37 and s.min() > 1e-30:
         return e, s, 0.0
+    if mask is not None:
+        logits = np.where(mask > 0, logits, -np.inf)
     top = logits.max(axis=1)
     e = np.exp(logits - top[:, None])
     return e, e @ _ONES[key], top
@@ -70,7 +93,7 @@ class Model:
     def __init__(self, counts: np.ndarray, hidden: int = HIDDEN, seed: int = 1):
         rng, v = np.random.default_rng(seed), len(counts)
         self.hidden, self.bounds = hidden, class_bounds(counts)
-        self.class_of = (np.searchsorted(self.bounds, np.arange(v), "right") - 1).astype(np.int16)
+        self.class_of, self.blocks = (np.searchsorted(self.bounds, np.arange(v), "right") - 1).astype(np.int16), class_blocks(self.bounds)
         small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
         c = np.maximum(counts.astype(np.float64), 0.5)
         mass = np.add.reduceat(c, self.bounds[:-1])
@@ -130,8 +153,8 @@ class Model:
             d[every, cls] -= 1
             dh, gww, gbw = d @ self.wc.T, np.zeros_like(self.ww), np.zeros_like(self.bw)
             gwc, gbc = states.T @ d, d.sum(axis=0)
-        for c in range(len(self.bounds) - 1):
-            lo, hi, first, last = self.bounds[c], self.bounds[c + 1], edges[c], edges[c + 1]
+        for c, d_, mask in self.blocks:
+            lo, hi, first, last = self.bounds[c], self.bounds[d_], edges[c], edges[d_]
             if hi - lo < 2 or first == last:
                 continue
             x, w = states[first:last], self.ww[lo:hi]
@@ -139,7 +162,7 @@ class Model:
             logits += self.bw[lo:hi]
             at, which = every[: last - first], targets[first:last] - lo
             picked = logits[at, which]
-            e, s, top = exponentials(logits)
+            e, s, top = exponentials(logits, None if mask is None else mask[cls[first:last] - c])
             found[first:last] += picked - top - np.log(s)
             if back:
                 e *= (1 / s)[:, None]
@@ -349,22 +372,32 @@ def prepared(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         logs = np.log10(words.counts + 1.0)
         end = np.log10(words.end_count + 1.0)
         for b in slices(batches, "text"):
-            out, rare, times, ends = [], [], [], [0]
-            for text in b.column("text").to_pylist():
-                tokens = words_of(text)
-                p = words.places(tokens)
-                where = np.flatnonzero(p < 0).tolist()
-                seen = Counter([tokens[i] for i in where])
-                rare.extend(seen)
-                times.extend(seen.values())
+            texts = b.column("text").to_pylist()
+            lists = [words_of(t) for t in texts]
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            tokens = list(chain.from_iterable(lists))
+            p, doc = words.places(tokens), np.repeat(np.arange(len(lists)), sizes)
+            sums = lambda where, of=None: np.bincount(doc[where], of, len(lists))  # noqa: B023, E731
+            missing, other = p < 0, (p >= words.net) | (p < 0)  # -1 reads the last count, 0
+            ids = np.full(len(p) + len(lists), END, "<i2")
+            ids[np.arange(len(p)) + doc] = np.where(other, OUT, p + 2)
+            rare, times, ends, at = [], [], [0], np.flatnonzero(missing)
+            edges = np.searchsorted(at, np.cumsum(sizes)).tolist()
+            at, first = at.tolist(), 0
+            for last in edges:
+                if last > first:
+                    seen = Counter([tokens[i] for i in at[first:last]])
+                    rare.extend(seen)
+                    times.extend(seen.values())
                 ends.append(len(rare))
-                other = p[(p >= words.net) | (p < 0)]  # -1 reads the last count, 0
-                out.append((
-                    key_of(text), len(p) + 1, len(p) - len(where) + (words.end_count > 0), float(logs[p].sum()) + end, float(logs[other].sum()), len(other),
-                    words.ids(p).astype("<i2").tobytes(),
-                ))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.binary())
-            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
+                first = last
+            logs_p = logs[p]
+            offsets = np.r_[0, np.cumsum(sizes + 1)] * 2
+            columns = [
+                pa.array([key_of(t) for t in texts], pa.int64()), pa.array(sizes + 1), pa.array(sizes - sums(missing) + (words.end_count > 0)),
+                pa.array(sums(slice(None), logs_p) + end), pa.array(sums(other, logs_p[other]) + 0.0), pa.array(sums(other).astype(np.int64)),
+                pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets.astype("<i4")), pa.py_buffer(ids)]),
+            ]
             pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int32())], names=["token", "times"])
             columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), b.column("slice"), *columns], names=["doc_id", "held_out", "slice", *NAMES])
