@@ -354,8 +354,9 @@ def test_pipeline(spark, data):
 
 def test_pipeline_against_brute_force(spark):
     """Each stage on its own input, in plain Python."""
-    from tests.llm.test_rows import fill, fingerprint, groups, model_of
+    from tests.llm.test_rows import fill, model_of
     from tests.llm.test_rows import words as words_of
+    from tests.llm.test_similar import least
 
     data = "/root/testdata/sf0.001"
     labels = spark.read.parquet(f"{data}/labels.parquet")
@@ -370,12 +371,9 @@ def test_pipeline_against_brute_force(spark):
     kept = corpus_pipeline.keep_quality(spark, docs, data).cache()
     assert as_counter(kept.collect()) == as_counter(r for r in docs.collect() if good(r.text))
     rows = kept.collect()
-    root = groups([fingerprint(r.text) for r in rows], 4)
-    least = {}
-    for r, g in zip(rows, root, strict=True):
-        least[g] = min(least.get(g, r.doc_id), r.doc_id)
+    stay = least([(r.doc_id, r.text) for r in rows])
     alone = corpus_pipeline.drop_copies(spark, kept, data).cache()
-    assert as_counter(alone.collect()) == as_counter(r for r in rows if r.doc_id in set(least.values()))
+    assert as_counter(alone.collect()) == as_counter(r for r in rows if r.doc_id in stay)
     rows = alone.collect()
     size = {r.doc_id: len(words_of(r.text)) for r in rows}
     sizes = Counter()
