@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, lower_ascii, map_arrow, slices, words_of, written
+from .common import BATCH_BYTES, components, lower_ascii, map_arrow, slices, words_of, written
 
 WIDTH = 5
 #: Similarity as a fraction: shared shingles by shingles of either.
@@ -30,7 +30,9 @@ COUNTERS = 1 << 18
 #: Texts that one task holds at a meeting place, and shingles that one holds of a group; more are dealt out in pairs of blocks.
 BLOCK, GROUP = 100_000, 4_000_000
 #: Keys that a task remembers so as not to send copies again.
-SEEN = 1 << 18
+SEEN = 1 << 16
+#: 64-bit words of the bitmap of keys that have met others. It spares the rest the join; a full one spares nothing.
+BITMAP = 1 << 18
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -77,12 +79,14 @@ def may_be_similar(fp: np.ndarray, n: np.ndarray, fp2, n2) -> np.ndarray:
     return ok
 
 
-def _new(batches: Iterator[pa.RecordBatch], extra: str | None = None):
-    """(key, extra, shingles) of each text that the task has not met of late; texts without words are left out."""
+def _new(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray | None = None):
+    """(key, shingles) of each text, of those in a bitmap if there is one, that the task has not met of late; texts without words are left out."""
     seen = set()
     for b in slices(batches, "text"):
-        more = b.column(extra).to_pylist() if extra else [None] * b.num_rows
-        for key, text, x in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), more, strict=True):
+        if bitmap is not None:
+            k = np.ascontiguousarray(b.column("key").to_numpy()).view(np.uint64)
+            b = b.filter(pa.array((bitmap[k >> np.uint64(46)] >> (k & np.uint64(63)) & np.uint64(1)).astype(bool)))
+        for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True):
             if key in seen:
                 continue
             if len(seen) >= SEEN:
@@ -90,7 +94,7 @@ def _new(batches: Iterator[pa.RecordBatch], extra: str | None = None):
             seen.add(key)
             shingles = shingle_set(text)
             if len(shingles):
-                yield key, x, shingles
+                yield key, shingles
 
 
 def frequencies(texts: DataFrame) -> np.ndarray:
@@ -98,7 +102,7 @@ def frequencies(texts: DataFrame) -> np.ndarray:
 
     def count(batches):
         total, held, size = np.zeros(COUNTERS, np.int64), [], 0
-        for _, _, s in _new(batches):
+        for _, s in _new(batches):
             held.append((s & np.uint64(COUNTERS - 1)).astype(np.int32))
             size += len(s)
             if size > COUNTERS:
@@ -131,7 +135,7 @@ def meetings(texts: DataFrame, levels: np.ndarray, block: int = BLOCK) -> DataFr
         def batch():
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["place", "key", "fp", "n"])
 
-        for key, _, s in _new(batches):
+        for key, s in _new(batches):
             slot = (s & np.uint64(COUNTERS - 1)).astype(np.int64)
             first = np.lexsort((s, levels[slot]))[: prefix_length(len(s))]
             place, many = s[first], blocks[slot[first]]
@@ -245,13 +249,28 @@ def groups(texts: DataFrame, block: int = BLOCK, group: int = GROUP) -> DataFram
     wide = components(map_arrow(places, _met, "a long, b long"), "a", "b")
     wide = written(wide.select(F.col("node").alias("key"), "root").distinct())
 
+    words = wide.groupBy(F.shiftrightunsigned("key", 46).cast("int").alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(BITMAP, np.uint64)
+    bitmap[words.column("slot").to_numpy()] = np.ascontiguousarray(words.column("bits").to_numpy()).view(np.uint64)
+
     def gather(batches):
-        for key, root, s in _new(batches, "root"):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([root], pa.int64()), pa.array([key], pa.int64()), pa.array([np.uint64(fingerprint_of(s)).astype(np.int64)], pa.int64()), pa.array([s.tobytes()], pa.binary())], names=["root", "key", "fp", "shingles"]
-            )
+        held, size = [], 0
+
+        def batch():
+            key, fp, shingles = zip(*held, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(shingles, pa.binary())], names=["key", "fp", "shingles"])
+
+        for key, s in _new(batches, bitmap):
+            held.append((key, fingerprint_of(s), s.tobytes()))
+            size += s.nbytes
+            if size >= BATCH_BYTES:
+                yield batch()
+                held, size = [], 0
+        if held:
+            yield batch()
 
-    sets = written(map_arrow(texts.join(wide, "key"), gather, "root long, key long, fp long, shingles binary"))
+    sets = map_arrow(texts, gather, "key long, fp long, shingles binary")
+    sets = written(sets.join(wide, "key").select("root", "key", "fp", "shingles"))
     size = sets.groupBy("root").agg(F.ceil(F.sum(F.octet_length("shingles")) / (8 * group)).cast("long").alias("blocks"))
     rows = sets.join(size, "root").withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")))
     pair = lambda j: F.least(F.col("mine"), j) * F.col("blocks") + F.greatest(F.col("mine"), j)

@@ -117,3 +117,11 @@ def test_filter_equals_its_definition():
     want = [(int(x) ^ int(y)).bit_count() <= 24 and 5 * min(i, j) >= 4 * max(i, j) for x, y, i, j in zip(a, b, n, m, strict=True)]
     assert similar.may_be_similar(a, n, b, m).tolist() == want
     assert similar.may_be_similar(a, n, b[0], m[0]).tolist() == [(int(x) ^ int(b[0])).bit_count() <= 24 and 5 * min(i, int(m[0])) >= 4 * max(i, int(m[0])) for x, i in zip(a, n, strict=True)]
+
+
+def test_full_bitmap_changes_nothing(spark, monkeypatch):
+    rows = spark.createDataFrame(list(enumerate(families(random.Random(7), 6))), "key long, text string").selectExpr("xxhash64(key) key", "text")
+    want = Counter(map(tuple, similar.groups(rows).collect()))
+    plain = similar._new
+    monkeypatch.setattr(similar, "_new", lambda batches, bitmap=None: plain(batches, None if bitmap is None else ~np.zeros_like(bitmap)))
+    assert want and Counter(map(tuple, similar.groups(rows).collect())) == want
