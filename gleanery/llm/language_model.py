@@ -116,26 +116,36 @@ class Model:
         return self
 
     def run(self, inputs: np.ndarray, keep: np.ndarray, h: np.ndarray, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """States (steps, lanes, hidden) over a window, and the last. keep: 0 where a document starts."""
-        n, u, gates = self.hidden, self.u, self.x[inputs]
-        out = np.empty((*inputs.shape, n), np.float32)
+        """States (steps, lanes, hidden) over a window, and the last. keep: 0 where a document starts.
+
+        Inside, lanes are the last axis, so that each gate is one contiguous block. trace takes, by steps: the states before, the gates and the new state
+        in one array, and what the reset gate multiplies.
+        """
+        n, ut, lanes = self.hidden, np.ascontiguousarray(self.u.T), inputs.shape[1]
+        gates = np.ascontiguousarray(self.x[inputs].transpose(0, 2, 1))
+        out, before = np.empty((2, len(inputs), n, lanes), np.float32)
+        held, h = np.empty_like(before) if trace is not None else None, h.T
+        a = np.empty((3 * n, lanes), np.float32)
         for t in range(len(inputs)):
-            h = h * keep[t][:, None]
-            a = h @ u
-            g = gates[t]
-            zr = g[:, : 2 * n] + a[:, : 2 * n]
+            h = np.multiply(h, keep[t], out=before[t])
+            np.matmul(ut, h, out=a)
+            zr, new = gates[t, : 2 * n], gates[t, 2 * n :]
+            zr += a[: 2 * n]
             np.negative(zr, out=zr)
             np.exp(zr, out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
-            z, r, an = zr[:, :n], zr[:, n:], a[:, 2 * n :]
-            new = np.tanh(g[:, 2 * n :] + r * an)
             if trace is not None:
-                trace.append((h, zr, an, new))
+                held[t] = a[2 * n :]
+            a[2 * n :] *= zr[n:]
+            new += a[2 * n :]
+            np.tanh(new, out=new)
             h = np.subtract(h, new, out=out[t])
-            h *= z
+            h *= zr[:n]
             h += new
-        return out, h
+        if trace is not None:
+            trace.extend((before, gates, held))
+        return np.ascontiguousarray(out.transpose(0, 2, 1)), h.T
 
     def log_probs(self, states: np.ndarray, targets: np.ndarray, back: bool = False):
         """Natural logs of the targets' probabilities; with back, the gradients of their negative sum as well."""
@@ -200,43 +210,40 @@ class Trainer:
         """Learn from a window (steps, lanes); use: which targets count. Returns the last state and the log likelihood."""
         m, n, trace = self.model, self.model.hidden, []
         states, last = m.run(inputs, keep, h, trace)
+        before, gates, held = trace
         flat, chosen = states.reshape(-1, n), np.flatnonzero(use.ravel())
         logs, dh, grads = m.log_probs(flat[chosen], targets.ravel()[chosen], back=True)
         d_out = np.zeros_like(flat)
         d_out[chosen] = dh
-        d_out = d_out.reshape(states.shape)
-        d_in = np.empty((*inputs.shape, 3 * n), np.float32)
-        d_a = np.empty_like(d_in)
-        before = np.empty_like(states)
-        flow = np.zeros_like(h)
-        ut = np.ascontiguousarray(m.u.T)
+        d_out = np.ascontiguousarray(d_out.reshape(states.shape).transpose(0, 2, 1))
         # What doesn't depend on the gradient from later steps, for all steps at once.
-        zs, ans, news = (np.stack([x[i] for x in trace]) for i in (1, 2, 3))
-        zs, rs = np.ascontiguousarray(zs[..., :n]), np.ascontiguousarray(zs[..., n:])
-        for t, x in enumerate(trace):
-            before[t] = x[0]
+        zs, rs, news = gates[:, :n], gates[:, n : 2 * n], gates[:, 2 * n :]
         by_new = (1 - zs) * (1 - news * news)
         by_z = (before - news) * zs * (1 - zs)
-        by_r = ans * rs * (1 - rs)
+        by_r = held * rs * (1 - rs)
+        d_in, d_a, flow = np.empty_like(gates), np.empty_like(gates), np.zeros_like(before[0])
         for t in range(len(inputs) - 1, -1, -1):
-            d = d_out[t] + flow
-            dn = d * by_new[t]
+            d = d_out[t]
+            d += flow
             g, a = d_in[t], d_a[t]
-            np.multiply(d, by_z[t], out=g[:, :n])
-            np.multiply(dn, by_r[t], out=g[:, n : 2 * n])
-            g[:, 2 * n :] = dn
-            a[:, : 2 * n] = g[:, : 2 * n]
-            np.multiply(dn, rs[t], out=a[:, 2 * n :])
-            flow = (d * zs[t] + a @ ut) * keep[t][:, None]
+            dn = np.multiply(d, by_new[t], out=g[2 * n :])
+            np.multiply(d, by_z[t], out=g[:n])
+            np.multiply(dn, by_r[t], out=g[n : 2 * n])
+            a[: 2 * n] = g[: 2 * n]
+            np.multiply(dn, rs[t], out=a[2 * n :])
+            np.matmul(m.u, a, out=flow)
+            d *= zs[t]
+            flow += d
+            flow *= keep[t]
         s = self.squares
-        self.step(m.u, s[1], before.reshape(-1, n).T @ d_a.reshape(-1, 3 * n))
+        self.step(m.u, s[1], np.matmul(before, d_a.transpose(0, 2, 1)).sum(axis=0))
         for k, (a, grad) in enumerate(zip(m.flat()[2:], grads, strict=True)):
             self.step(a, s[2 + k], grad)
         ids = inputs.ravel().astype(np.int16)  # as _ids() has them: 16 bits sort by radix
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
         starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        grad = np.add.reduceat(d_in.reshape(-1, 3 * n)[order], starts, axis=0)
+        grad = np.add.reduceat(d_in.transpose(0, 2, 1).reshape(-1, 3 * n)[order], starts, axis=0)
         self.rows(ids[starts].astype(np.int64), grad)
         return last, float(logs.sum())
 
