@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -99,8 +100,8 @@ def annotation(n: Column, share: Column) -> Column:
     return F.format_string("%d\n%.1f%%", n, share * 100)
 
 
-def clean_tokens(c: Column, stop_words: Column, keep_entities: bool = True) -> Column:
+def clean_tokens(c: Column, stop_words: Sequence[str]) -> Column:
     """Tokens for analysis: letters only, three characters or more, no addresses, no stop words. The lemma is the token itself."""
     text = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(https?://|www\.)\S+|\S+@\S+", " ")
-    words = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    return F.filter(words, lambda w: (F.char_length(w) >= 3) & w.rlike(r"^\p{L}+$") & ~F.array_contains(stop_words, w))
+    words = F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}_])\p{L}{3,}+(?![\p{N}_])"), F.lit(0))
+    return F.filter(words, lambda w: ~w.isin(*stop_words)) if stop_words else words

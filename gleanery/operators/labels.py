@@ -25,7 +25,6 @@ def clean_profiles(df: DataFrame, text: str = "perfil_egreso", to: str = "perfil
     """df with cleaned texts, rows without any word left out. annotate: a function of (tokens column) that drops names and
     gives lemmas, where a model for that is installed; without it tokens are their own lemmas.
     """
-    stop = F.array(*map(F.lit, stop_list(language)))
-    words = clean_tokens(repair_encoding(normalize(F.col(text))), stop)
+    words = clean_tokens(repair_encoding(normalize(F.col(text))), stop_list(language))
     words = annotate(words) if annotate else words
     return df.withColumn(to, F.array_join(words, " ")).where(~blank(F.col(to)))

@@ -158,8 +158,7 @@ from p cross join o"""
 
 
 def clean_texts(spark, sf_dir):
-    stop = F.array(*map(F.lit, CUSTOM_STOP_WORDS))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(clean_tokens(F.col("text"), stop), " ").alias("clean"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(clean_tokens(F.col("text"), CUSTOM_STOP_WORDS), " ").alias("clean"))
 
 
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in CUSTOM_STOP_WORDS) + "]"

@@ -11,7 +11,7 @@ from ..operators.labels import stop_list
 
 def clean(stream: DataFrame, text_col: str, stop_words=()) -> DataFrame:
     """A stream of texts with `clean`, their tokens for analysis; stateless."""
-    words = F.array(*map(F.lit, sorted(set(stop_words) or set(stop_list()))))
+    words = sorted(set(stop_words) or set(stop_list()))
     return stream.withColumn("clean", F.array_join(clean_tokens(repair_encoding(normalize(F.col(text_col))), words), " "))
 
 

@@ -54,6 +54,12 @@ def test_clean(spark):
     assert [r.perfil_limpio for r in labels.clean_profiles(df).collect()] == ["ver diseñar sistemas"]
 
 
+def test_clean_words(spark):
+    words = lambda c: text.clean_tokens(c, ("con", "para"))
+    assert one(spark, words, "Con 3 años_de abc1 1abc x²y año: PARA-todo ab abc", "", None) == [["año", "todo", "abc"], [], []]
+    assert one(spark, lambda c: text.clean_tokens(c, ()), "con abc") == [["con", "abc"]]
+
+
 @pytest.mark.parametrize(
     ("page", "selector", "want"),
     [
