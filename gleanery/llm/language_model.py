@@ -414,8 +414,9 @@ def prepared(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 NAMES = ("h", "n_tokens", "known", "logs", "out_logs", "n_out", "ids", "rare")
 MAIN = ("doc_id", "held_out", "h", "n_tokens", "known", "logs", "out_logs", "n_out")
-#: Bytes of ids that go through the network as one batch.
-BATCH = 3 << 20
+#: Bytes of ids that the network learns from as one batch, and that it scores as one, that many steps at a time: state is carried through whole
+#: documents, so neither changes a score.
+BATCH, SCORED, SCORED_STEPS = 3 << 20, 4 << 20, 32
 
 
 def _ids(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -483,11 +484,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def scored(batches: Iterator[pa.RecordBatch]):
         model = Model(net_counts).load(weights.value)
-        for b in slices(batches, "ids", BATCH):
+        for b in slices(batches, "ids", SCORED):
             total = np.zeros(b.num_rows)
             h = np.zeros((LANES, model.hidden), np.float32)
             with np.errstate(over="ignore"):
-                for inputs, targets, keep, use, doc, stay in windows(_ids(b)):
+                for inputs, targets, keep, use, doc, stay in windows(_ids(b), steps=SCORED_STEPS):
                     states, h = model.run(inputs, keep, h[stay])
                     chosen = use.ravel()
                     found = model.log_probs(states.reshape(-1, model.hidden)[chosen], targets.ravel()[chosen])
