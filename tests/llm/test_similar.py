@@ -125,3 +125,63 @@ def test_full_bitmap_changes_nothing(spark, monkeypatch):
     plain = similar._new
     monkeypatch.setattr(similar, "_new", lambda batches, bitmap=None: plain(batches, None if bitmap is None else ~np.zeros_like(bitmap)))
     assert want and Counter(map(tuple, similar.groups(rows).collect())) == want
+
+
+def test_chance_meetings_make_no_large_group(spark):
+    """Each text shares passages with some 40 others and is similar to none: of these that meet, few may be gathered. With one word of fingerprint more than
+    half hang together, and a group's sets are dealt out in pairs of blocks."""
+    rng = random.Random(11)
+    n, each = 300, 40
+    texts = [[] for _ in range(n)]
+    ends = [i for i in range(n) for _ in range(each)]
+    rng.shuffle(ends)
+    for p, (i, j) in enumerate(zip(ends[::2], ends[1::2], strict=True)):
+        for t in {i, j}:
+            texts[t].append(" ".join(f"p{p}w{w}" for w in range(40)))
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "key long, text string").repartition(3)
+    places = similar.meetings(rows, similar.frequencies(rows)).repartition("place").sortWithinPartitions("place")
+    links = places.mapInArrow(similar._met, "a long, b long").collect()
+    assert len({x for link in links for x in link}) < n // 10
+
+
+@pytest.mark.parametrize("most", [similar.__dict__.get("GONE"), 0])
+def test_rows_that_go_are_taken_out_without_a_shuffle_of_the_rest(spark, monkeypatch, most):
+    rows = list(enumerate(families(random.Random(12), 6)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(similar, "GONE", most, raising=False)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = similar.deduplicate(docs)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        ids = Counter(r.doc_id for r in got.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert ids == least(rows)
+    assert ("Exchange hashpartitioning" in plan) == (most == 0)
+
+
+def test_bitmap_of_rows_that_go(spark):
+    """Numbers at the ends of words and of partitions, the sign bit among them."""
+    uids = [0, 1, 62, 63, 64, 65, 127, 128, (1 << 33) - 1, 1 << 33, (1 << 33) + 63, (5 << 33) + 64]
+    rows, gone = spark.createDataFrame([(u,) for u in uids], "uid long"), uids[::2] + [63]
+    got = similar.without(rows, spark.createDataFrame([(u,) for u in gone], "uid long"))
+    assert got.columns == ["uid"] and sorted(r.uid for r in got.collect()) == sorted(set(uids) - set(gone))
+
+
+def test_finished_queries_leave_no_shuffle_files(spark):
+    import glob
+
+    from gleanery.llm.common import written
+
+    held = lambda: len(glob.glob(f"{spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()[0].getPath()}/*/shuffle_*.data"))
+    before, now = spark.conf.get(similar.CLEANUP), held()
+    with similar._lean(spark):
+        written(spark.range(1000).repartition(3, "id"))
+    import time
+
+    for _ in range(50):
+        if held() <= now:
+            break
+        time.sleep(0.1)
+    assert held() <= now and spark.conf.get(similar.CLEANUP) == before
