@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, table
+from .common import LOWER, UPPER, table, written
 
 #: (verdict, rule); host up to the first slash, the path's prefix from there.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -38,7 +38,7 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", id_col: str
 
     rules: verdict, host (lower case), path, rule. Of equal expressions a block wins. URLs no rule fits, null
     and malformed ones among them, get `otherwise` and a null rule. Rows with null or repeated ids are judged
-    each by itself; no rules, or an empty table, work as well. Rules' paths may have MAX_LENGTHS different lengths; more raise ValueError.
+    each by itself; no rules, or an empty table, work as well. Any input will do, shuffled ones too. Rules' paths may have MAX_LENGTHS different lengths; more raise ValueError.
     """
     rules = rules.where("host is not null and path is not null")
     # Lengths of rules' paths: bounded, and checked.
@@ -46,7 +46,8 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", id_col: str
     if len(lengths) > MAX_LENGTHS:
         raise ValueError(f"rules have paths of more than {MAX_LENGTHS} lengths")
     host, path = split_url(F.col(url_col))
-    urls = pages.select(F.monotonically_increasing_id().alias("_n"), F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    # Written, as rows are read twice by their number: another evaluation of pages may number them otherwise.
+    urls = written(pages.select(F.monotonically_increasing_id().alias("_n"), F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")))
     # Plain columns first: a lambda that holds an expression computes it again for every element.
     tries = urls.withColumn("_labels", F.split("host", r"\."))
     suffixes = F.transform(F.sequence(F.lit(1), F.size("_labels")), lambda i: F.array_join(F.slice("_labels", i, F.size("_labels")), "."))
