@@ -1,0 +1,172 @@
+"""Conversation repair against every possible edit, a plain table of paths, and odd rows."""
+
+import hashlib
+import random
+import re
+from itertools import product
+
+import pytest
+
+from gleanery.llm import repair
+
+GOOD = re.compile(r"(s?(ua)+)?")
+COST = {"K": 0, "R": 1, "D": 2, "I": 5}
+
+
+def outcome(rows, audit):
+    """(cost, repaired rows) of edits, None if they may not be."""
+    at, cost, out = 0, 0, []
+    for letter in audit:
+        cost += COST[letter]
+        ends = re.sub("^s", "", "".join(r[:1] for r, _ in out))
+        then = "assistant" if len(ends) % 2 else "user"
+        if letter == "I":
+            out.append((then, ""))
+            continue
+        role, text, fault = rows[at]
+        at += 1
+        if letter != "D":
+            if fault in ("blank", "duplicate"):
+                return None
+            cost += 5 * (fault == "truncated")
+            out.append((role if letter == "K" else then, text))
+    if at < len(rows) or not GOOD.fullmatch("".join(r[:1] if r[:1] in ("s", "u", "a") else "?" for r, _ in out)):
+        return None
+    return cost, out
+
+
+def every(rows):
+    """The cheapest edits of all, up to one row inserted at each place and two at the end."""
+    best = None
+    for letters in product("DKR", repeat=len(rows)):
+        for more in product(("", "I"), repeat=len(rows) + 2):
+            audit = "".join(m + x for m, x in zip(more, letters, strict=False)) + "".join(more[len(rows) :])
+            found = outcome(rows, audit)
+            if found and (best is None or (found[0], audit) < best[:2]):
+                best = (found[0], audit, found[1])
+    return best
+
+
+def dynamic(rows):
+    """(cost, audit) by a table over rows and endings."""
+    big = (10**9, "")
+    e, s, u, a = (0, ""), big, big, big
+    add = lambda x, c, l: (x[0] + c, x[1] + l)  # noqa: E731, E741
+    for role, _, fault in rows:
+        u1, a1 = min(u, add(min(e, s, a), 5, "I")), min(a, add(u, 5, "I"))
+        x, cut, no = min(e, s, a1), 5 * (fault == "truncated"), fault in ("blank", "duplicate")
+        i = role[:1]
+        e2, s2, u2, a2 = (add(z, 2, "D") for z in (e, s, u1, a1))
+        if not no:
+            s2 = min(s2, add(e, cut, "K")) if i == "s" else s2
+            u2 = min(u2, add(x, cut + (i != "u"), "K" if i == "u" else "R"))
+            a2 = min(a2, add(u1, cut + (i != "a"), "K" if i == "a" else "R"))
+        e, s, u, a = e2, s2, u2, a2
+    return min(e, a, add(u, 5, "I"))
+
+
+def solved(rows, block=256):
+    old, repair.BLOCK = repair.BLOCK, block
+    try:
+        c = repair.Conversation()
+        for i, (role, text, fault) in enumerate(rows):
+            c.add(i, role, text, fault)
+        return c.row()
+    finally:
+        repair.BLOCK = old
+
+
+def some_rows(rng, n):
+    return [(rng.choice(["user", "assistant", "user", "assistant", "system", "tool", ""]), f"t{i}", rng.choice([None, None, None, "blank", "duplicate", "truncated"])) for i in range(n)]
+
+
+def test_all_edits_of_short_conversations():
+    rng = random.Random(1)
+    for _ in range(120):
+        rows = some_rows(rng, rng.randint(0, 4))
+        want = every(rows)
+        got = solved(rows)
+        text = "\n".join(f"{r}:{t}" for r, t in want[2])
+        assert (got[5], got[6], got[7]) == (want[0], want[1], hashlib.sha256(text.encode()).hexdigest()), rows
+
+
+@pytest.mark.parametrize("block", [1, 2, 7, 256])
+def test_long_conversations_in_blocks(block):
+    rng = random.Random(block)
+    for n in (5, 30, 300):
+        for _ in range(10):
+            rows = some_rows(rng, n)
+            got, want = solved(rows, block), dynamic(rows)
+            assert got[5:7] == want
+            text = "\n".join(f"{r}:{t}" for r, t in outcome(rows, want[1])[1])
+            assert got[7] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_a_heuristic_never_overestimates():
+    """The cost that is left at any cut is at least the suffix sum."""
+    rng = random.Random(9)
+    for _ in range(50):
+        rows = some_rows(rng, 8)
+        for cut in range(9):
+            rest = rows[cut:]
+            least = sum(2 for r in rest if r[2])
+            for state in range(4):
+                found = repair.search([(r[:1], repair.CUT if f == "truncated" else repair.GONE if f else repair.FREE) for r, _, f in rest], [(state, 0, "")], True)
+                assert min(c for c, _, _ in found.values()) >= least
+
+
+ODD = [
+    (1, 0, "user", "Hi.", 9), (1, 1, "assistant", "Yes.", 9), (1, 1, "assistant", "Yes.", 9), (1, None, "system", "S.", 9), (2, 5, None, None, 9), (2, 9, "user", "\x0b\r", 9),
+    (None, 1, "assistant", "a ", 9), (None, 2, "user", "b!", 9), (3, 0, "user", "x" * 100000, 9), (4, 7, "", "ok.", 9), (4, 7, "", "ok.", 9), (5, 1, "user", "gone", 9),
+]
+
+
+def plainly(rows):
+    """The row of one conversation by hand: (turn, role, text)."""
+    rows = sorted(((t, r if r is not None else " ", x if x is not None else " ") for t, r, x in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    seen, marked = set(), []
+    for _, r, x in rows:
+        body = x.strip(" \t\n\x0b\x0c\r")
+        marked.append((r, x, "blank" if not body else "duplicate" if (r, x) in seen else "truncated" if body[-1] not in ".!?" else None))
+        seen.add((r, x))
+    turns = [t for t, _, _ in rows if t is not None]
+    cost, audit = dynamic(marked)
+    text = "\n".join(f"{r}:{t}" for r, t in outcome(marked, audit)[1])
+    bad = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:], strict=False))
+    count = lambda f: sum(m[2] == f for m in marked)
+    return max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0, count("blank"), count("duplicate"), count("truncated"), bad, cost, audit, hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_odd_rows_and_extra_columns(spark):
+    from pyspark.sql import functions as F
+
+    turns = spark.createDataFrame(ODD, "conv_id long, turn long, role string, text string, fault int").repartition(3)
+    got = {r[0]: tuple(r)[1:] for r in repair.repair(turns, F.col("conv_id") == 5).collect()}
+    by = {}
+    for c, t, r, x, _ in ODD:
+        if c != 5:
+            by.setdefault(c, []).append((t, r, x))
+    want = {c: plainly(rows) for c, rows in by.items()}
+    want[5] = (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
+    assert got == want
+    assert repair.repair(turns.limit(0)).collect() == []
+
+
+def test_rows_after_the_repair(spark):
+    turns = spark.createDataFrame(ODD, "conv_id long, turn long, role string, text string, fault int").repartition(3)
+    want = {r.conv_id: r.repaired_sha256 for r in repair.repair(turns).collect()}
+    rows = {}
+    for r in sorted(repair.repaired_rows(turns).collect(), key=lambda r: r.place):
+        assert r.place == len(rows.setdefault(r.conv_id, []))
+        rows[r.conv_id].append(f"{r.role}:{r.text}")
+    assert {c: hashlib.sha256("\n".join(rows.get(c, [])).encode()).hexdigest() for c in want} == want
+
+
+def test_query_equals_sql_on_more(spark, same):
+    import duckdb
+
+    from gleanery.llm import queries
+
+    c = duckdb.connect()
+    c.sql("create view conversations as select * from '/root/testdata/sf0.01/conversations.parquet'")
+    same(queries.QUERIES["op13_astar_repair"](spark, "/root/testdata/sf0.01"), c, repair.SQL)
