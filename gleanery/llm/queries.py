@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embeddings, language_model, media, mixing, pieces, quality, repair, sharding, simhash, token_codes, url_filter
+from . import chat, embeddings, language_model, media, mixing, negatives, pieces, quality, repair, sharding, simhash, token_codes, url_filter
 
 QUERIES = {
     "op1_gru_score": language_model.op1_gru_score,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_nbest_pieces": pieces.op9_nbest_pieces,
     "op10_quality": quality.op10_quality,
     "op11_addressable_codes": token_codes.op11_addressable_codes,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
     "op13_astar_repair": repair.op13_astar_repair,
 }
-ORACLE = {"op2_url_rules": url_filter.SQL, "op6_pca_tiles": embeddings.SQL, "op8_chat_masks": chat.SQL, "op13_astar_repair": repair.SQL}
+ORACLE = {"op2_url_rules": url_filter.SQL, "op6_pca_tiles": embeddings.SQL, "op8_chat_masks": chat.SQL, "op12_hard_negatives": negatives.SQL, "op13_astar_repair": repair.SQL}
