@@ -1,6 +1,6 @@
 """Token ids as directly addressable codes: any token is read without decoding a block.
 
-An id is cut into chunks, the lowest first. Level k holds the k-th chunk of every id that has one, packed at the level's width, and a bitmap that says which
+An id is cut into chunks, the lowest first. Level k holds the k-th chunk of every id that has one, in as many bytes as the level is wide, and a bitmap that says which
 ids continue; a rank directory counts the bitmap's ones before every 512 bits. Token i is chunk i of the first level and, while its
 bit is set, chunk rank(i) of the next. The widths are those that make the codes shortest, from the counts of the ids' lengths in bits.
 
@@ -15,6 +15,7 @@ import os
 import re
 import struct
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -33,49 +34,53 @@ SEGMENT = 1 << 20
 RANK = 512
 MAGIC = b"DAC1"
 HEAD, LEVEL = struct.Struct("<4sIQ"), struct.Struct("<IIQ")
-#: Bytes after packed chunks, so that a window of five bytes can be read anywhere.
-GUARD = 8
 
 
 def best_widths(longer: np.ndarray) -> list[int]:
-    """Widths of the levels that take the fewest bits, where a level more has to save a quarter of a bit per id, as reads go through it.
-    longer[s]: how many ids have more than s bits, from s = 0 (all ids) on to 0."""
-    end = int(np.flatnonzero(longer)[-1]) + 1 if longer.any() else 1
+    """Widths of the levels, whole bytes, that take the fewest bits. longer[s]: how many ids have more than s bits, all for s = 0."""
+    end = -(-(int(np.flatnonzero(longer)[-1]) + 1 if longer.any() else 1) // 8)
     cost, first = [0] * (end + 1), [0] * (end + 1)
     for s in range(end - 1, -1, -1):
-        choices = [(int(longer[s]) * (w + (s + w < end)) + int(longer[0]) / 4 + cost[s + w], w) for w in range(1, end - s + 1)]
-        cost[s], first[s] = min(choices)
+        cost[s], first[s] = min((int(longer[8 * s]) * (8 * w + (s + w < end)) + cost[s + w], w) for w in range(1, end - s + 1))
     out, s = [], 0
     while s < end:
-        out.append(first[s])
+        out.append(8 * first[s])
         s += first[s]
     return out
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
-    bits = ((values[:, None] >> np.arange(width, dtype=np.uint32)) & 1).astype(np.uint8)
-    return np.packbits(bits.ravel(), bitorder="little").tobytes() + bytes(GUARD)
+    """The low bytes of each value, one value after the other."""
+    return np.ascontiguousarray(values.astype("<u4", copy=False)).view(np.uint8).reshape(-1, 4)[:, : width // 8].tobytes()
+
+
+def unpack(chunks: np.ndarray, width: int, at) -> np.ndarray:
+    """Values at places, or in a slice of places."""
+    rows = chunks.reshape(-1, width // 8)[at]
+    out = np.zeros((len(rows), 4), np.uint8)
+    out[:, : width // 8] = rows
+    return out.view("<u4").ravel()
 
 
 def encode(ids: np.ndarray) -> bytes:
     """The codes of ids below 2**32."""
     ids = np.ascontiguousarray(ids, np.uint32)
-    length = np.frexp(ids.astype(np.float64))[1]  # bits of an id, 0 of id 0
-    longer = np.r_[len(ids), len(ids) - np.cumsum(np.bincount(length, minlength=33))[:32]]
+    longer = np.zeros(33, np.int64)
     longer[0] = len(ids)
-    widths, parts, heads = best_widths(longer), [], []
-    rest, left = ids, length
+    for s in (8, 16, 24):
+        longer[s] = np.count_nonzero(ids >> np.uint32(s))
+    widths, parts, heads, rest = best_widths(longer), [], [], ids
     for k, width in enumerate(widths):
-        more = left > width
-        part = [pack(rest & np.uint32((1 << width) - 1) if width < 32 else rest, width)]
-        if k < len(widths) - 1:
+        last = k == len(widths) - 1
+        high = rest >> np.uint32(width) if not last else rest[:0]
+        parts.append(pack(rest, width))
+        heads.append(LEVEL.pack(width, not last, len(rest)))
+        if not last:
             flags = np.zeros(-(-max(len(rest), 1) // RANK) * RANK, np.uint8)
-            flags[: len(rest)] = more
+            flags[: len(rest)] = high > 0
             ones = flags.reshape(-1, RANK).sum(1)
-            part += [np.packbits(flags, bitorder="little").tobytes(), (np.cumsum(ones) - ones).astype("<u4").tobytes()]
-        parts += part
-        heads.append(LEVEL.pack(width, k < len(widths) - 1, len(rest)))
-        rest, left = rest[more] >> np.uint32(width) if width < 32 else rest[:0], left[more] - width
+            parts += [np.packbits(flags, bitorder="little").tobytes(), (np.cumsum(ones) - ones).astype("<u4").tobytes()]
+            rest = high[high > 0]
     return b"".join([HEAD.pack(MAGIC, len(widths), len(ids)), *heads, *parts])
 
 
@@ -89,14 +94,14 @@ class Codes:
         at, self.levels = HEAD.size + levels * LEVEL.size, []
         for k in range(levels):
             width, more, n = LEVEL.unpack_from(data, HEAD.size + k * LEVEL.size)
-            size = (n * width + 7) // 8 + GUARD
+            size = n * width // 8
             chunks, bits, directory = np.frombuffer(data, np.uint8, size, at), None, None
             at += size
             if more:
                 blocks = -(-max(n, 1) // RANK)
-                bits = np.frombuffer(data, "<u8", blocks * RANK // 64, at)
+                bits = np.frombuffer(data, np.uint8, blocks * RANK // 8, at)
                 at += blocks * RANK // 8
-                directory = np.frombuffer(data, "<u4", blocks, at)
+                directory = np.frombuffer(data, np.uint8, blocks * 4, at).view("<u4")
                 at += blocks * 4
             self.levels.append((width, n, chunks, bits, directory))
 
@@ -107,14 +112,10 @@ class Codes:
             raise IndexError("no such token")
         out, who, shift = np.zeros(len(at), np.uint32), np.arange(len(at)), 0
         for width, _, chunks, bits, directory in self.levels:
-            bit = at * width
-            window = sum(chunks[(bit >> 3) + j].astype(np.uint64) << np.uint64(8 * j) for j in range(5))
-            chunk = (window >> (bit & 7).astype(np.uint64)) & np.uint64((1 << width) - 1)
-            out[who] |= (chunk << np.uint64(shift)).astype(np.uint32)
+            out[who] |= unpack(chunks, width, at) << np.uint32(shift)
             if bits is None:
                 break
-            word, place = at >> 6, (at & 63).astype(np.uint64)
-            go = ((bits[word] >> place) & np.uint64(1)).astype(bool)
+            go = (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
             at, who, shift = self.rank(bits, directory, at[go]), who[go], shift + width
         return out
 
@@ -122,7 +123,7 @@ class Codes:
     def rank(bits: np.ndarray, directory: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How many bits are set before each place: the directory's count, and the words of the place's own 512 bits."""
         block, inside = at // RANK, at % RANK
-        words = bits[(block * (RANK // 64))[:, None] + np.arange(RANK // 64)]
+        words = bits.view("<u8").reshape(-1, RANK // 64)[block]
         own = inside[:, None] - np.arange(RANK // 64) * 64
         part = (np.uint64(1) << np.clip(own, 0, 63).astype(np.uint64)) - np.uint64(1)
         mask = np.where(own >= 64, np.uint64(0xFFFFFFFFFFFFFFFF), part)
@@ -136,69 +137,98 @@ class Codes:
         for width, _, chunks, bits, directory in self.levels:
             if start == stop:
                 break
-            first = start * width
-            found = np.unpackbits(chunks[first >> 3 : (stop * width + 7) >> 3], bitorder="little")[first & 7 : (first & 7) + (stop - start) * width]
-            chunk = found.reshape(-1, width) @ (np.uint32(1) << np.arange(width, dtype=np.uint32)) << np.uint32(shift)
+            chunk = unpack(chunks, width, slice(start, stop)) << np.uint32(shift)
             if who is None:
                 out |= chunk
             else:
                 out[who] |= chunk
             if bits is None:
                 break
-            raw = bits.view(np.uint8)[start >> 3 : (stop + 7) >> 3]
-            go = np.flatnonzero(np.unpackbits(raw, bitorder="little")[start & 7 : (start & 7) + stop - start])
+            go = np.flatnonzero(np.unpackbits(bits[start >> 3 : (stop + 7) >> 3], bitorder="little")[start & 7 : (start & 7) + stop - start])
             who, shift = go if who is None else who[go], shift + width
-            start = int(self.rank(bits, directory, np.array([start]))[0]) if start < len(bits) * 64 else 0
+            start = int(self.rank(bits, directory, np.array([start]))[0])
             stop = start + len(go)
         return out
 
 
-#: Before a space after anything but white space a text may be cut: the tokenizer cuts there too, so the parts' ids are the text's. White space before
-#: a space is left whole.
-_CUT, _WHOLE = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s ")
+#: Where white space meets white space, or an end, words can't be taken apart.
+_TOGETHER = re.compile(r"\s\s|\s\Z")
 #: Words whose ids a worker remembers, twice: those of late, and the many before them until as many new ones have come. And the longest.
-REMEMBERED, LONGEST = 1 << 17, 48
+REMEMBERED, LONGEST = 1 << 18, 48
+#: Words that go to the library together, with line feeds between them.
+TOGETHER = 64
 _KNOWN: dict[int, list[dict[str, bytes]]] = {}
 
 
-def _bytes(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
 class Encoder:
-    """Ids of whole texts by the tokenizers library. A byte-level tokenizer that doesn't normalise encodes words apart, so the ids
-    of frequent words are remembered; for any other each text goes to the library whole."""
+    """Ids of whole texts by the tokenizers library, as little-endian unsigned 32-bit integers.
+
+    A byte-level tokenizer that doesn't normalise cuts a text before a space or a line feed that follows anything but white space, and after a lone line
+    feed; so the ids of a text are those of its words, and a frequent word's are remembered. Texts with white space beside white space go to the library
+    whole, and so does everything for any other tokenizer.
+    """
 
     def __init__(self, json_text: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for each core
         self.tokenizer = Tokenizer.from_str(json_text)
         model = json.loads(json_text)
-        pre = model.get("pre_tokenizer") or {}
-        self.apart = not model.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        self.apart = self.apart and not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") for t in model.get("added_tokens", []))
+        pre, added = model.get("pre_tokenizer") or {}, model.get("added_tokens", [])
+        feed = self.plain(["\n"])[0]
+        self.feed, self.feed_id = feed, struct.unpack("<I", feed)[0] if len(feed) == 4 else None
+        self.apart = not model.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and len(feed) == 4
+        self.apart = self.apart and not any(re.search(r"\s", t["content"]) or t.get("lstrip") or t.get("rstrip") for t in added)
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in added) or r"(?!)")
         self.known = _KNOWN.setdefault(hash(json_text), [{}, {}])
 
     def plain(self, texts: list[str]) -> list[bytes]:
-        return [_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def units(self, units: list[str]) -> list[bytes]:
+        """The ids of strings without line feeds, many at a time: a line feed is an id of its own, at which the ids are cut."""
+        out, groups = [], [units[i : i + TOGETHER] for i in range(0, len(units), TOGETHER)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            raw, ends = ids.tobytes(), [*(np.flatnonzero(ids == self.feed_id) * 4).tolist(), len(ids) * 4]
+            if len(ends) != len(group) or self.added.search("".join(group)):  # an added token changes what stands around it
+                out += self.plain(group)
+                continue
+            start = 0
+            for end in ends:
+                out.append(raw[start:end])
+                start = end + 4
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        """The ids of each text."""
         if not self.apart:
             return self.plain(texts)
         late, old = self.known
         if len(late) > REMEMBERED:
             late, old = {}, late
             self.known[:] = late, old
-        # A word stands for itself with the space before it; a text's first part has none and is not remembered.
-        parts = {t: t.split(" ") if not _WHOLE.search(t) else [p[i > 0 :] for i, p in enumerate(_CUT.split(t))] for t in texts}
-        new = set().union(*(p[1:] for p in parts.values())).difference(late)
-        late.update((w, old[w]) for w in new & old.keys())
-        new = list(new - late.keys())
-        late.update(zip(new, self.plain([" " + w for w in new]), strict=True))
-        first = dict(zip(parts, self.plain([p[0] for p in parts.values()]), strict=True))
-        out = {t: first[t] + b"".join([late[w] for w in p[1:]]) for t, p in parts.items()}
+        # A word stands for itself after a space, or with a line feed for itself after that; a text's first has a line feed that is taken off again.
+        whole, parts, new = {}, {}, set()
+        for t in texts:
+            if t not in whole and t not in parts:
+                if _TOGETHER.search(t) or not t or t[0].isspace():
+                    whole[t] = b""
+                else:
+                    parts[t] = p = ("\n" + t.replace("\n", " \n")).split(" ")
+                    new.update(filterfalse(late.__contains__, p))
+        if whole:
+            whole = dict(zip(whole, self.plain(list(whole)), strict=True))
+        asked = []
         for w in new:
+            if w in old:
+                late[w] = old[w]
+            else:
+                asked.append(w)
+        for w, ids in zip(asked, self.units([w[1:] if w[0] == "\n" else " " + w for w in asked]), strict=True):
+            late[w] = self.feed + ids if w[0] == "\n" else ids
+        out = {t: b"".join(map(late.__getitem__, p))[4:] for t, p in parts.items()} | whole
+        for w in asked:
             if len(w) > LONGEST:
                 del late[w]
         return [out[t] for t in texts]

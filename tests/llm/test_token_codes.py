@@ -33,22 +33,18 @@ def test_every_token_and_every_run(n, top):
 
 
 def test_widths_take_the_fewest_bits():
-    def bits(widths, longer):
-        s = total = 0
-        for w in widths:
-            total += longer[s] * (w + (s + w < end)) + longer[0] / 4
-            s += w
-        return total
-
-    def splits(n):
-        return [[]] if n == 0 else [[w, *rest] for w in range(1, n + 1) for rest in splits(n - w)]
-
+    """Whole bytes: all ways to cut one to four of them."""
     rng = np.random.default_rng(1)
-    for end in range(1, 10):
-        longer = np.sort(rng.integers(1, 1000, end))[::-1]
-        longer = np.r_[longer, np.zeros(4, int)]
-        got = best_widths(longer)
-        assert sum(got) == end and bits(got, longer) == min(bits(s, longer) for s in splits(end))
+    for end in range(1, 5):
+        for _ in range(20):
+            longer = np.zeros(33, int)
+            longer[[8 * i for i in range(end)]] = np.sort((10 ** rng.uniform(0, 4, end)).astype(int))[::-1]
+            cost = {}
+            for cuts in range(1 << (end - 1)):
+                edges = [0, *(i for i in range(1, end) if cuts >> (i - 1) & 1), end]
+                cost[tuple(8 * (b - a) for a, b in zip(edges, edges[1:], strict=False))] = sum(longer[8 * a] * (8 * (b - a) + (b < end)) for a, b in zip(edges, edges[1:], strict=False))
+            got = tuple(best_widths(longer))
+            assert cost[got] == min(cost.values())
 
 
 def test_other_bytes_are_refused():
@@ -61,6 +57,8 @@ def test_words_encode_as_their_text():
     assert e.apart
     bits = [" ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "　", "a", "B", "é", "'s", "'ll", "1", "23", ".", ",", "日", "😀", "<|endoftext|>", "-", "​", "\x00"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(5000)]
+    lone = [b for b in bits if b.strip()]
+    texts += [rng.choice(["", "\n"]).join("".join(rng.choice(lone) for _ in range(rng.randint(1, 4))) + rng.choice([" ", "\n", "\t"]) for _ in range(12)) + "x" for _ in range(3000)]
     assert e(texts) == e.plain(texts)
     other = Encoder(open("/opt/tokenizers/word_bpe_49k.json").read())
     assert not other.apart and other(texts[:50]) == other.plain(texts[:50])
