@@ -15,7 +15,6 @@ import os
 import re
 import struct
 from collections.abc import Iterator
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -154,9 +153,11 @@ class Codes:
 #: Where white space meets white space, or an end, words can't be taken apart.
 _TOGETHER = re.compile(r"\s\s|\s\Z")
 #: Words whose ids a worker remembers, twice: those of late, and the many before them until as many new ones have come. And the longest.
-REMEMBERED, LONGEST = 1 << 18, 48
+REMEMBERED, LONGEST = 1 << 19, 48
 #: Words that go to the library together, with line feeds between them.
 TOGETHER = 64
+#: A word of Latin letters and a mark after it, which such a tokenizer keeps apart.
+_MARKED = re.compile(r"(\n?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?])")
 _KNOWN: dict[int, list[dict[str, bytes]]] = {}
 
 
@@ -180,6 +181,7 @@ class Encoder:
         self.apart = not model.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and len(feed) == 4
         self.apart = self.apart and not any(re.search(r"\s", t["content"]) or t.get("lstrip") or t.get("rstrip") for t in added)
         self.added = re.compile("|".join(re.escape(t["content"]) for t in added) or r"(?!)")
+        self.marks = dict(zip(".,;:!?", self.plain(list(".,;:!?")), strict=True))
         self.known = _KNOWN.setdefault(hash(json_text), [{}, {}])
 
     def plain(self, texts: list[str]) -> list[bytes]:
@@ -215,19 +217,35 @@ class Encoder:
                 if _TOGETHER.search(t) or not t or t[0].isspace():
                     whole[t] = b""
                 else:
-                    parts[t] = p = ("\n" + t.replace("\n", " \n")).split(" ")
-                    new.update(filterfalse(late.__contains__, p))
+                    p = ("\n" + t.replace("\n", " \n")).split(" ")
+                    found = list(map(late.get, p))
+                    parts[t] = p, found
+                    if None in found:
+                        new.update([w for w, ids in zip(p, found, strict=True) if ids is None])
         if whole:
             whole = dict(zip(whole, self.plain(list(whole)), strict=True))
-        asked = []
+        asked, marked = {}, []
         for w in new:
-            if w in old:
-                late[w] = old[w]
+            ids = old.get(w)
+            if ids is None:
+                m = _MARKED.fullmatch(w)
+                if m:
+                    core, mark = m.groups()
+                    marked.append((w, core, mark))
+                    if core not in late and core not in asked:
+                        if core in old:
+                            late[core] = old[core]
+                        else:
+                            asked[core] = None
+                else:
+                    asked[w] = None
             else:
-                asked.append(w)
+                late[w] = ids
         for w, ids in zip(asked, self.units([w[1:] if w[0] == "\n" else " " + w for w in asked]), strict=True):
             late[w] = self.feed + ids if w[0] == "\n" else ids
-        out = {t: b"".join(map(late.__getitem__, p))[4:] for t, p in parts.items()} | whole
+        for w, core, mark in marked:
+            late[w] = late[core] + self.marks[mark]
+        out = {t: b"".join([late[w] if ids is None else ids for w, ids in zip(p, found, strict=True)])[4:] for t, (p, found) in parts.items()} | whole
         for w in asked:
             if len(w) > LONGEST:
                 del late[w]
