@@ -295,11 +295,15 @@ def _judged(predictions: DataFrame) -> DataFrame:
     return metrics.fold_summary(metrics.scores(metrics.by_class(metrics.confusion(p, by), by), by), ["model"])
 
 
+#: Trees of the benchmarks' forests and rounds of their boosting: fewer than the library's own, so that a benchmark takes minutes.
+BENCH_TREES, BENCH_ROUNDS = 40, 20
+
+
 def benchmark_models(spark, sf_dir, names=classifiers.NAMES, n_folds: int = FOLDS):
     """The ranking of all models over the embeddings."""
     rows = embedded(spark, sf_dir)
     parts = folds.stratified(rows.withColumn("at", F.col("id")), ["id"], "c", "at", n_folds).select("id", "fold")
-    return _rounded(metrics.ranking(_judged(classifiers.cross_validated(rows, parts, names, n_folds))))
+    return _rounded(metrics.ranking(_judged(classifiers.cross_validated(rows, parts, names, n_folds, n_trees=BENCH_TREES, rounds=BENCH_ROUNDS))))
 
 
 def out_of_fold_simple(spark, sf_dir):
@@ -336,7 +340,7 @@ def text_folds(spark, sf_dir, n_folds: int = FOLDS) -> DataFrame:
 
 
 def judged_texts(spark, sf_dir, names=classifiers.NAMES, n_folds: int = FOLDS) -> DataFrame:
-    return _judged(classifiers.cross_validated_texts(text_folds(spark, sf_dir, n_folds), names, n_folds))
+    return _judged(classifiers.cross_validated_texts(text_folds(spark, sf_dir, n_folds), names, n_folds, BENCH_TREES, BENCH_ROUNDS))
 
 
 def benchmark_texts(spark, sf_dir, names=classifiers.NAMES, n_folds: int = FOLDS):
