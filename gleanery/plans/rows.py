@@ -296,7 +296,7 @@ def _judged(predictions: DataFrame) -> DataFrame:
 
 
 #: Trees of the benchmarks' forests and rounds of their boosting: fewer than the library's own, so that a benchmark takes minutes.
-BENCH_TREES, BENCH_ROUNDS = 40, 20
+BENCH_TREES, BENCH_ROUNDS = 30, 10
 
 
 def benchmark_models(spark, sf_dir, names=classifiers.NAMES, n_folds: int = FOLDS):
