@@ -160,6 +160,10 @@ def by_keyword(root: Node, keywords) -> str:
     return ""
 
 
+#: What the parser raises on pages that it can't read.
+BROKEN = (ValueError, RecursionError, AssertionError)
+
+
 def extract(html: str | None, selector: str | None, first=PRIORITY_KEYWORDS, second=SECONDARY_KEYWORDS) -> tuple[str, str]:
     """A page's text and the step that found it: selector, priority title, secondary title or none. Broken pages give none."""
     if not html:
@@ -173,11 +177,19 @@ def extract(html: str | None, selector: str | None, first=PRIORITY_KEYWORDS, sec
         for step, words in (("priority", first), ("secondary", second)):
             if text := by_keyword(root, words):
                 return text, step
-    except (ValueError, RecursionError):
+    except BROKEN:
         return "", "none"
     return "", "none"
 
 
+def whole_text(html: str | None) -> str:
+    """A page's whole text; broken pages give none."""
+    try:
+        return text_of(parse(html)) if html else ""
+    except BROKEN:
+        return ""
+
+
 def extractor(first=PRIORITY_KEYWORDS, second=SECONDARY_KEYWORDS):
     """A function of (html, selector) columns giving struct(text, step)."""
 
@@ -190,4 +202,4 @@ def extractor(first=PRIORITY_KEYWORDS, second=SECONDARY_KEYWORDS):
 
 @F.pandas_udf(T.StringType())
 def page_text(html: pd.Series) -> pd.Series:
-    return html.map(lambda h: text_of(parse(h)) if h else "")
+    return html.map(whole_text)

@@ -81,3 +81,10 @@ def test_extract(page, selector, want):
 def test_extract_column(spark):
     df = spark.createDataFrame([("<h1>Sobre la carrera</h1><p>x​ y</p>", ""), (None, None)], "h string, s string")
     assert [tuple(r.x) for r in df.select(html.extractor()("h", "s").alias("x")).collect()] == [("x y", "priority"), ("", "none")]
+
+
+def test_a_broken_page_fails_no_job():
+    from gleanery.functions import html
+
+    assert html.extract("<p>a</p><![foo b</p>", "p") == ("", "none") and html.whole_text("<p>a</p><![foo b</p>") == ""
+    assert html.whole_text("<p>a</p>") == "a" and html.whole_text(None) == ""
