@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import CHART_TERMS, CUSTOM_STOP_WORDS, MOJIBAKE, PERMUTATIONS, SEED
 from ..functions.text import clean_tokens, fraction, normalize, number, repair_encoding, slug, column_name, suspicious
-from ..operators import classifiers, homogeneity, keyness, report, vectors
+from ..operators import classifiers, cosine, homogeneity, keyness, report, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,22 @@ def document_cosine(spark, sf_dir):
     return out.select("id_a", "id_b", F.round("similarity", 6).alias("similarity"))
 
 
+#: Cosine from which documents count as linked.
+LINKED = 0.8
+
+
+def cosine_links(spark, sf_dir):
+    """How many others are near each document, for all documents."""
+    docs, vocab, counts, _ = corpus(spark, sf_dir)
+    return cosine.cosine_links(docs, counts, vocab, LINKED)
+
+
+LINKS = VEC + f""",
+l as (select a.id as a, b.id as b from vec a join vec b using (term) where a.id <> b.id group by 1, 2 having round(sum(a.x * b.x), {cosine.DECIMALS}) >= {LINKED}),
+n as (select a as id, count(*) as n from l group by a)
+select id, coalesce(n, 0) as n_links from tok left join n using (id)"""
+
+
 KEY = TOK + """,
 grid as (select cls, term, coalesce(f, 0) as f, coalesce(docs, 0) as docs from sizes cross join voc
          left join (select cls, term, cast(sum(tf) as bigint) as f, count(*) as docs from w group by cls, term) using (cls, term)),
@@ -213,6 +229,7 @@ QUERIES = {
         m as (select (own2 - q) / 2 / ip as intra, ((all2 - q) - (own2 - q)) / 2 / (n * (n - 1) / 2 - ip) as inter from k)
         select round(intra, 6) as intra, round(inter, 6) as inter, round(intra - inter, 6) as difference from m"""),
     "document_cosine": (document_cosine, VEC + " select a.id as id_a, b.id as id_b, round(sum(a.x * b.x), 6) as similarity from vec a join vec b using (term) where a.id % 50 = 0 and a.id <> b.id group by 1, 2"),
+    "cosine_links": (cosine_links, LINKS),
     "report_terms": (report_terms, KEY + "select cls, string_agg(term, ', ' order by rank) as terms from top where rank <= 15 group by cls"),
     "multinomial_nb_predict": (multinomial_nb_predict, NB),
     "permutation_test": (permutation_test, PERM),
