@@ -15,11 +15,27 @@ VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "l
 SCHEMA = T.StructType([T.StructField("text", T.StringType()), T.StructField("step", T.StringType())])
 
 
+#: Elements whose text isn't the page's; those that end an open paragraph; those that end an open one of the same list or table, and where it is looked for at most.
+SILENT = frozenset(("script", "style", "template"))
+BLOCKS = frozenset((
+    "address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"
+))
+ITEMS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
+HOLDERS = BLOCKS - {"p"} | {"li", "td", "th", "dd"}
+WITHIN = frozenset(("ul", "ol", "dl", "select", "table"))
+
+
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent", "at")
+    """place: among all children of the parent; nth: among its elements, from 1; count: elements among its own children."""
+
+    __slots__ = ("tag", "attrs", "children", "parent", "place", "nth", "count")
 
     def __init__(self, tag, attrs, parent):
-        self.tag, self.attrs, self.children, self.parent, self.at = tag, attrs, [], parent, 0
+        self.tag, self.attrs, self.children, self.parent, self.count = tag, attrs, [], parent, 0
+        if parent is not None:
+            parent.count += 1
+            self.place, self.nth = len(parent.children), parent.count
+            parent.children.append(self)
 
     def elements(self):
         """Elements below, in document order."""
@@ -35,7 +51,7 @@ class Node:
             n = todo.pop()
             if isinstance(n, str):
                 yield n
-            else:
+            elif n.tag not in SILENT:
                 todo += reversed(n.children)
 
 
@@ -44,14 +60,25 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.now = Node("", {}, None)
 
+    def ended(self, tags, within):
+        """Close the nearest open element of tags, if it lies below the nearest of within."""
+        node = self.now
+        while node.parent is not None and node.tag not in tags and node.tag not in within:
+            node = node.parent
+        if node.parent is not None and node.tag in tags:
+            self.now = node.parent
+
     def handle_starttag(self, tag, attrs):
+        if tag in BLOCKS:
+            self.ended(("p",), HOLDERS)
+        elif tag in ITEMS:
+            self.ended(ITEMS[tag], WITHIN)
         node = Node(tag, {k: v or "" for k, v in attrs}, self.now)
-        self.now.children.append(node)
         if tag not in VOID:
             self.now = node
 
     def handle_startendtag(self, tag, attrs):
-        self.now.children.append(Node(tag, {k: v or "" for k, v in attrs}, self.now))
+        Node(tag, {k: v or "" for k, v in attrs}, self.now)
 
     def handle_endtag(self, tag):
         node = self.now
@@ -98,10 +125,8 @@ def _fits(node: Node, compound: str) -> bool:
             return False
         if name and (name not in node.attrs or (value is not None and node.attrs[name] != value)):
             return False
-        if nth:
-            same = [c for c in node.parent.children if isinstance(c, Node)]
-            if same.index(node) + 1 != int(nth):
-                return False
+        if nth and node.nth != int(nth):
+            return False
         at = m.end()
     return True
 
@@ -127,35 +152,35 @@ def select(root: Node, selector: str) -> list[Node]:
     return [n for n in root.elements() if any(_matches(n, w) for w in ways)]
 
 
-def content_near(title: Node) -> str:
-    """Content elements after a title up to the next great heading; else the next block in the document."""
-    siblings = title.parent.children
-    found = []
-    for n in siblings[siblings.index(title) + 1 :]:
-        if isinstance(n, str):
-            continue
-        if n.tag in STOP_TAGS:
-            break
-        if n.tag in CONTENT_TAGS and (text := text_of(n)):
-            found.append(text)
-    if found:
-        return " ".join(found)
-    root = title
-    while root.parent is not None:
-        root = root.parent
-    seen = False
-    for n in root.elements():
-        if seen and n.tag in FALLBACK_TAGS:
-            return text_of(n)
-        seen = seen or n is title
-    return ""
+def content_near(title: Node, block: Node | None, barren: dict[Node, int]) -> str:
+    """Content elements after a title up to the next great heading; else block, the next one in the document. barren: up to which of a parent's
+    children an earlier title found none, so that they aren't looked through again."""
+    siblings, found = title.parent.children, []
+    if title.place >= barren.get(title.parent, 0):
+        i = title.place + 1
+        while i < len(siblings):
+            n = siblings[i]
+            if not isinstance(n, str):
+                if n.tag in STOP_TAGS:
+                    break
+                if n.tag in CONTENT_TAGS and (text := text_of(n)):
+                    found.append(text)
+            i += 1
+        if found:
+            return " ".join(found)
+        barren[title.parent] = i
+    return text_of(block) if block else ""
 
 
 def by_keyword(root: Node, keywords) -> str:
-    for n in root.elements():
+    elements, barren = list(root.elements()), {}
+    blocks: list[Node | None] = [None] * len(elements)
+    for i in range(len(elements) - 2, -1, -1):
+        blocks[i] = elements[i + 1] if elements[i + 1].tag in FALLBACK_TAGS else blocks[i + 1]
+    for n, block in zip(elements, blocks, strict=True):
         if n.tag in TITLE_TAGS:
             title = " ".join(s for s in (x.strip() for x in n.strings()) if s).lower()
-            if any(k in title for k in keywords) and (text := content_near(n)):
+            if any(k in title for k in keywords) and (text := content_near(n, block, barren)):
                 return text
     return ""
 

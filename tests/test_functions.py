@@ -88,3 +88,29 @@ def test_a_broken_page_fails_no_job():
 
     assert html.extract("<p>a</p><![foo b</p>", "p") == ("", "none") and html.whole_text("<p>a</p><![foo b</p>") == ""
     assert html.whole_text("<p>a</p>") == "a" and html.whole_text(None) == ""
+
+
+@pytest.mark.parametrize(
+    ("page", "selector", "want"),
+    [
+        ("<h2>Perfil de egreso</h2><p>uno<p>dos<h2>Otro</h2><p>tres", "-", ("uno dos", "priority")),
+        ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>", "ul > li:nth-child(3)", ("d", "selector")),
+        ("<p><b>a<div>b</div>", "p", ("a", "selector")),
+        ("<table><tr><td>a<td>b<tr><td>c</table>", "tr:nth-child(2)", ("c", "selector")),
+        ("<p>a<div>b</div></p>", "div", ("b", "selector")),
+        ("<div>uno<script>var x=1;</script><style>p{}</style> dos</div>", "div", ("uno dos", "selector")),
+        ("<div><b>Perfil de egreso</b><b>Perfil de egreso</b></div><p></p><p>x</p>", "-", ("", "none")),
+    ],
+)
+def test_ends_left_out_and_silent_elements(page, selector, want):
+    assert html.extract(page, selector) == want
+
+
+def test_time_grows_with_the_page():
+    import time
+
+    start = time.perf_counter()
+    titles = "<div>" + "<span>Perfil de egreso</span>" * 20_000 + "</div>"
+    assert html.extract(titles, "-") == ("", "none")
+    assert html.extract("<ul>" + "<li>a</li>" * 20_000 + "</ul>", "li:nth-child(20000)") == ("a", "selector")
+    assert time.perf_counter() - start < 10
