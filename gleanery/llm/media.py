@@ -199,20 +199,36 @@ def store(docs: DataFrame, listed: DataFrame, text_col: str, common: list[bytes]
 FEATURES = "key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def _described(rows: list[tuple[bytes, list, list[bytes]]]) -> pa.RecordBatch:
-    out = []
+def _assembled(rows: list[tuple[bytes, list, list[bytes]]]):
+    """(key, container, payload read out of it, number of chunks) of each payload, held against its key."""
     for key, recipe, chunks in rows:
         media = container(chunks, [c["d"] for c in recipe])
         data = open_container(media)
         if digest(data) != key:
             raise ValueError("a payload doesn't match its key")
-        out.append((key, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(data, len(chunks))))
+        yield key, media, data, len(chunks)
+
+
+def _described(rows: list[tuple[bytes, list, list[bytes]]]) -> pa.RecordBatch:
+    out = [
+        (key, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(data, n))
+        for key, media, data, n in _assembled(rows)
+    ]
     types = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     names = ["key", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     columns = list(zip(*out, strict=True)) or [[]] * 7
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
+PAYLOADS = "key binary, payload binary, media binary"
+
+
+def _bytes(rows: list[tuple[bytes, list, list[bytes]]]) -> pa.RecordBatch:
+    out = [(key, data, media) for key, media, data, _ in _assembled(rows)]
+    columns = list(zip(*out, strict=True)) or [[]] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names=["key", "payload", "media"])
+
+
 def _own_chunks(recipe: list[dict], blob: bytes) -> dict[int, bytes]:
     out, at = {}, 0
     for c in recipe:
@@ -222,8 +238,8 @@ def _own_chunks(recipe: list[dict], blob: bytes) -> dict[int, bytes]:
     return out
 
 
-def read_back(kept: DataFrame, common: list[bytes] | None = None) -> DataFrame:
-    """FEATURES of every payload in a store, from its stored chunks."""
+def read_back(kept: DataFrame, common: list[bytes] | None = None, give=_described, schema: str = FEATURES) -> DataFrame:
+    """FEATURES of every payload in a store, from its stored chunks; or what else give makes of (key, recipe, chunks) rows, in that schema."""
 
     def alone(batches: Iterator[pa.RecordBatch]):
         for b in slices(batches, "blob", 1 << 20):
@@ -231,7 +247,7 @@ def read_back(kept: DataFrame, common: list[bytes] | None = None) -> DataFrame:
             for key, recipe, blob in zip(*(b.column(c).to_pylist() for c in ("key", "recipe", "blob")), strict=True):
                 own = _own_chunks(recipe, blob)
                 rows.append((key, recipe, [own[c["at"]] for c in recipe]))
-            yield _described(rows)
+            yield give(rows)
 
     def shared(batches: Iterator[pa.RecordBatch]):
         for b in slices(batches, "blob", 1 << 20):
@@ -244,7 +260,7 @@ def read_back(kept: DataFrame, common: list[bytes] | None = None) -> DataFrame:
                         chunks.append(own[c["at"]])
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(chunks, pa.binary())], names=["d", "chunk"])
 
-    whole = map_arrow(kept.where("complete").select("key", "recipe", "blob"), alone, FEATURES)
+    whole = map_arrow(kept.where("complete").select("key", "recipe", "blob"), alone, schema)
     part = kept.where("not complete").select("key", "recipe", "blob")
     lent = kept.where(F.exists("recipe", lambda c: c["own"] & c["shared"])).select("recipe", "blob")
     lent = map_arrow(lent, shared, "d binary, chunk binary")
@@ -272,11 +288,20 @@ def read_back(kept: DataFrame, common: list[bytes] | None = None) -> DataFrame:
                 else:
                     have[at] = blob
             if rows:
-                yield _described(rows)
+                yield give(rows)
         if recipe is not None:
-            yield _described([done()])
+            yield give([done()])
+
+    return whole.unionByName(map_arrow(both, put_together, schema))
 
-    return whole.unionByName(map_arrow(both, put_together, FEATURES))
+
+def payloads(kept: DataFrame, common: list[bytes] | None = None) -> DataFrame:
+    """(key, payload, media) of every payload in a store: its bytes, put together from the stored chunks and verified, and the container they are exported in.
+
+    A payload is in one row, whatever the number of documents that share it; manifest() says which (key, n_bytes). A missing or damaged chunk raises
+    an error. A store without rows gives none.
+    """
+    return read_back(kept, common, _bytes, PAYLOADS)
 
 
 def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

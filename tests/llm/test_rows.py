@@ -8,6 +8,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from gleanery.llm import media, mixing, pieces, quality, sharding, simhash
 
@@ -300,6 +301,25 @@ def test_pieces_round_trip(spark, odd, odd_rows, none, model):
     assert pieces.encode_table(none).count() == 0
 
 
+def test_n_best_tables_decode_to_their_texts(spark, odd, odd_rows, none, model):
+    got = pieces.n_best_table(odd)
+    want = Counter((r[0], k, s, tuple(ids.tolist())) for r in odd_rows for k, (s, ids) in enumerate(model.encode(r[1], 4), 1))
+    assert Counter((r["doc_id"], r["rank"], r["score"], tuple(r["ids"])) for r in got.collect()) == want
+    # every one of the n best gives its document's text; a column of the same name is replaced
+    back = pieces.decode_table(got.withColumn("text", F.lit("old")))
+    assert back.columns == ["doc_id", "rank", "score", "ids", "text"]
+    assert Counter((r["doc_id"], r["rank"], r["text"]) for r in back.collect()) == Counter((r[0], k, r[1] or "") for r in odd_rows for k in range(1, len(model.encode(r[1], 4)) + 1))
+    assert pieces.n_best_table(none).count() == 0 and pieces.decode_table(got.limit(0)).count() == 0
+
+
+def test_decode_table_on_odd_ids(spark):
+    rows = spark.createDataFrame([(1, None), (2, [])], "x long, ids array<int>")
+    assert {r["x"]: r["text"] for r in pieces.decode_table(rows).collect()} == {1: None, 2: ""}
+    for wrong in ([10**6], [-1], [None]):
+        with pytest.raises(Exception, match="no piece has the id"):
+            pieces.decode_table(spark.createDataFrame([(wrong,)], "ids array<int>")).collect()
+
+
 def test_long_word_without_end(model):
     s, ids = model.encode("a" * 20000, 4)[3]
     assert model.decode(ids) == "a" * 20000
@@ -348,6 +368,19 @@ def test_media(spark, odd, odd_rows, none):
     assert media.media_column(none).count() == 0
 
 
+def test_payloads_come_back_byte_by_byte(spark, odd, odd_rows, none):
+    """One row a payload, whatever its documents: the bytes, and a container that opens to them."""
+    listed = media.manifest(odd, "doc_id", "text").cache()
+    got = {bytes(r["key"]): r for r in media.payloads(media.store(odd, listed, "text")).collect()}
+    made = [(r[1] or "").encode() for r in odd_rows]
+    want = {d + b"\xff" * (-len(d) % 576 if d else 576) for d in made}
+    assert Counter(bytes(r["payload"]) for r in got.values()) == Counter(want)
+    assert all(media.open_container(bytes(r["media"])) == bytes(r["payload"]) for r in got.values())
+    by_id = listed.where("doc_id = 36").first()
+    assert bytes(got[bytes(by_id["key"])]["payload"])[: by_id["n_bytes"]].decode() == dict((r[0], r[1]) for r in odd_rows)[36]
+    assert media.payloads(media.store(none, media.manifest(none, "doc_id", "text"), "text")).count() == 0
+
+
 def test_each_chunk_is_stored_once(spark):
     rng = np.random.default_rng(4)
     part = bytes(rng.integers(97, 123, 30000, np.uint8)).decode()
