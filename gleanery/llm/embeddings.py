@@ -139,9 +139,8 @@ def find(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id
     """(id, n_links, component_id, kept) of every row; other columns aren't read.
 
     Rows of equal labels that aren't null link at cosine >= threshold. Null, zero and non-finite vectors link with
-    nothing; vectors of unlike lengths don't link, and each length is compared by itself. Usable vectors may have
-    64 different lengths; more raise ValueError. Equal vectors of a label are compared once and counted as often as they
-    occur. Ids may be null or repeated: each row counts, component_id is the least id that isn't null. An
+    nothing; vectors of unlike lengths don't link, whatever the number of lengths. Equal vectors of a label are compared
+    once and counted as often as they occur. Ids may be null or repeated: each row counts, component_id is the least id that isn't null. An
     empty table gives an empty result.
     """
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -152,11 +151,16 @@ def find(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id
     width = most["n"]
     if rows.where(F.col("ok") & (F.size("v") != width)).isEmpty():
         return _of_width(rows, width, threshold)
-    # Vectors of unlike lengths can't link; each length is compared by itself.
-    lengths = [r[0] for r in rows.where("ok").select(F.size("v")).distinct().limit(65).collect()]
-    if len(lengths) > 64:
-        raise ValueError("vectors have more than 64 lengths")
-    parts = [_of_width(rows.where(F.col("ok") & (F.size("v") == n)), n, threshold) for n in lengths]
+    # Vectors of unlike lengths can't link: the length goes with the label. Lengths up to the same power of two are filled up with zeros, which leave
+    # cosines as they are, and compared in one go: a number of goes that is bounded by the digits of a length.
+    size = F.size("v")
+    power = F.length(F.bin(size - 1))
+    known = rows.where("ok").groupBy(power.alias("power")).agg(F.max(size).alias("most")).collect()
+    parts = []
+    for power_of, longest in known:
+        some = rows.where(F.col("ok") & (power == power_of))
+        filled = F.concat("v", F.array_repeat(F.lit(0.0), F.lit(longest) - size))
+        parts.append(_of_width(some.select("vec_id", F.struct("label", size.alias("n")).alias("label"), filled.alias("v"), "ok"), longest, threshold))
     parts.append(_result(rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))))
     out = parts[0]
     for p in parts[1:]:

@@ -301,11 +301,12 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     assert got[0] > got[1] + 0.15 * got[2]
 
 
-def test_lengths_have_a_stated_limit(spark):
-    df = spark.createDataFrame([(i, 1, [1.0] * (i + 1)) for i in range(65)], "vec_id long, label int, embedding array<double>")
-    with pytest.raises(ValueError, match="64 lengths"):
-        embeddings.find(df)
-    assert "64 different lengths" in embeddings.find.__doc__
+def test_any_number_of_lengths(spark):
+    """Each length by itself: 90 of them, with links inside some and zeros at the end of vectors that must not link longer ones."""
+    rows = [(i, [1.0] * (i + 1), 1) for i in range(90)]
+    rows += [(100 + i, [2.0] * (i + 1), 1) for i in range(0, 90, 3)] + [(200 + i, [1.0] * (i + 1) + [0.0], 1) for i in range(0, 90, 5)] + [(300, [1.0] * 9, 2), (301, None, 1), (302, [1.0] * 70, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert as_counter((r.vec_id, r.n_links, r.component_id, bool(r.kept)) for r in embeddings.find(df).collect()) == brute(rows)
 
 
 def test_network_is_whole():
