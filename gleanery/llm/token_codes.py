@@ -29,6 +29,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 END = 2
 #: Tokens of a segment, unless one document has more.
 SEGMENT = 1 << 20
+#: Tokens that are read in one go, unless one document has more.
+READ = 1 << 18
 #: Bits between two counts of the directory.
 RANK = 512
 MAGIC = b"DAC1"
@@ -228,7 +230,7 @@ class Encoder:
         for w in new:
             ids = old.get(w)
             if ids is None:
-                m = _MARKED.fullmatch(w)
+                m = _MARKED.fullmatch(w) if w[-1:] in self.marks else None
                 if m:
                     core, mark = m.groups()
                     marked.append((w, core, mark))
@@ -319,14 +321,13 @@ def documents(segments: DataFrame) -> DataFrame:
                 ends = b.column("ends")[k].values.to_numpy()
                 begin = np.r_[0, ends[:-1]]
                 names = b.column("doc_ids")[k].values
-                held, first, size = [], 0, 0
-                for i, (x, y) in enumerate(zip(begin.tolist(), ends.tolist(), strict=True)):
-                    held.append(codes.slice(x, y).astype("<u4", copy=False).tobytes())
-                    size += y - x
-                    if size >= 1 << 20 or i + 1 == len(ends):
-                        to = i + 1
-                        yield pa.RecordBatch.from_arrays([names.slice(first, to - first), pa.array(start + begin[first:to]), pa.array(ends[first:to] - begin[first:to]), pa.array(held, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
-                        held, first, size = [], to, 0
+                first = 0
+                while first < len(ends):  # documents of some READ tokens, one at least, are read in one go
+                    to = max(first + 1, int(np.searchsorted(ends, begin[first] + READ, "right")))
+                    ids, at = codes.slice(int(begin[first]), int(ends[to - 1])).astype("<u4", copy=False), np.r_[begin[first:to], ends[to - 1]] - begin[first]
+                    held = pa.Array.from_buffers(pa.binary(), to - first, [None, pa.py_buffer((at * 4).astype(np.int32)), pa.py_buffer(ids)])
+                    yield pa.RecordBatch.from_arrays([names.slice(first, to - first), pa.array(start + begin[first:to]), pa.array(ends[first:to] - begin[first:to]), held], names=["doc_id", "start", "n_tokens", "ids"])
+                    first = to
 
     return map_arrow(placed(segments).select("doc_ids", "ends", "codes", "start"), read, f"doc_id {kind}, start long, n_tokens long, ids binary")
 

@@ -107,3 +107,13 @@ def test_query_equals_plain_encoding(spark, data, duck):
         start += len(ids)
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.QUERIES["op11_addressable_codes"](spark, data).collect()}
     assert got == want
+
+
+def test_documents_are_read_in_ranges(spark, odd, odd_rows, monkeypatch):
+    """Ranges of one document, of a few and of all of a segment give the same ids."""
+    segments, found = token_codes.encode_table(odd, segment=500), []
+    for read in (1, 7, 1 << 18):
+        monkeypatch.setattr(token_codes, "READ", read)
+        found.append(sorted((r.start, r.n_tokens, repr(r.doc_id), bytes(r.ids)) for r in token_codes.documents(segments).collect()))
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(odd_rows)
+    assert all(len(ids) == 4 * n for _, n, _, ids in found[0])
