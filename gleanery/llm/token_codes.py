@@ -10,19 +10,23 @@ of a Parquet table in the shared folder, so a lost task's are written again and
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
 import struct
-from collections.abc import Iterator
+import uuid
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices, table, written
+from .common import map_arrow, table, written
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: The id after each document.
@@ -152,15 +156,35 @@ class Codes:
         return out
 
 
-#: Where white space meets white space, or an end, words can't be taken apart.
-_TOGETHER = re.compile(r"\s\s|\s\Z")
-#: Words whose ids a worker remembers, twice: those of late, and the many before them until as many new ones have come. And the longest.
+#: White space, and where it meets white space or an end: there words can't be taken apart.
+_BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_TOGETHER = rf"{_BLANK}{_BLANK}|{_BLANK}\z|\A{_BLANK}|\A\z"
+#: Words that a worker remembers, those of late; up to twice as many until the rest is dropped. And the longest.
 REMEMBERED, LONGEST = 1 << 19, 48
+#: Bytes of texts whose words are looked up together, unless one text has more: each look-up goes over all remembered words.
+LOOKED_UP = 16 << 20
+#: Characters that go to the library in one call, unless one text has more.
+ASKED = 1 << 18
 #: Words that go to the library together, with line feeds between them.
 TOGETHER = 64
-#: A word of Latin letters and a mark after it, which such a tokenizer keeps apart.
-_MARKED = re.compile(r"(\n?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?])")
-_KNOWN: dict[int, list[dict[str, bytes]]] = {}
+_LETTER, _MARK = "[A-Za-zÀ-ÖØ-öø-ɏ]", r"[!-/:-@\[-`{-~]"
+#: A word of Latin letters and marks after it, which such a tokenizer keeps apart, all marks together.
+_MARKED = rf"\A(?P<core>\n?{_LETTER}+)(?P<marks>{_MARK}+)\z"
+
+
+def _string(text: str) -> pa.Scalar:
+    return pa.scalar(text, pa.large_string())
+
+
+def binaries(data: np.ndarray, edges: np.ndarray) -> pa.LargeBinaryArray:
+    """The data's bytes between one edge and the next."""
+    return pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)])
+
+
+def looked_up(known: pa.Array, asked: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Where each asked value stands among the known ones, which are distinct, and the new ones after them; and all these."""
+    coded = pa.concat_arrays([known, asked]).dictionary_encode()
+    return coded.indices.to_numpy()[len(known) :], coded.dictionary
 
 
 class Encoder:
@@ -179,79 +203,116 @@ class Encoder:
         model = json.loads(json_text)
         pre, added = model.get("pre_tokenizer") or {}, model.get("added_tokens", [])
         feed = self.plain(["\n"])[0]
-        self.feed, self.feed_id = feed, struct.unpack("<I", feed)[0] if len(feed) == 4 else None
+        self.feed_id = struct.unpack("<I", feed)[0] if len(feed) == 4 else None
         self.apart = not model.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and len(feed) == 4
         self.apart = self.apart and not any(re.search(r"\s", t["content"]) or t.get("lstrip") or t.get("rstrip") for t in added)
         self.added = re.compile("|".join(re.escape(t["content"]) for t in added) or r"(?!)")
-        self.marks = dict(zip(".,;:!?", self.plain(list(".,;:!?")), strict=True))
-        self.known = _KNOWN.setdefault(hash(json_text), [{}, {}])
+        self.marks_apart = not any(re.fullmatch(f"{_LETTER}*{_MARK}*", t["content"]) for t in added)
+        self.words, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.used, self.now = np.zeros(0, np.int64), 0  # when each word was last looked up
 
     def plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def units(self, units: list[str]) -> list[bytes]:
-        """The ids of strings without line feeds, many at a time: a line feed is an id of its own, at which the ids are cut."""
-        out, groups = [], [units[i : i + TOGETHER] for i in range(0, len(units), TOGETHER)]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u4")
-            raw, ends = ids.tobytes(), [*(np.flatnonzero(ids == self.feed_id) * 4).tolist(), len(ids) * 4]
-            if len(ends) != len(group) or self.added.search("".join(group)):  # an added token changes what stands around it
-                out += self.plain(group)
-                continue
-            start = 0
-            for end in ends:
-                out.append(raw[start:end])
-                start = end + 4
-        return out
+        return [np.array(e.ids, "<u4").tobytes() for e in self.encoded(texts)]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def encoded(self, texts: Iterable[str]):
+        """The library's encodings, held for ASKED characters at a time, unless one text has more."""
+        some, size = [], 0
+        for t in texts:
+            if some and size + len(t) > ASKED:
+                yield from self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+                some, size = [], 0
+            some.append(t)
+            size += len(t)
+        yield from self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+
+    def asked(self, words: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """The ids of words, many at a time: a line feed before each is an id of its own, at which the ids are cut."""
+        lines, flat = pc.starts_with(words, "\n"), array("I")
+        alone = pc.if_else(lines, words, pc.binary_join_element_wise(_string("\n "), words, _string("")))
+        starts = pa.array(np.r_[np.arange(0, len(words), TOGETHER), len(words)], pa.int64())
+        groups = pc.binary_join(pa.LargeListArray.from_arrays(starts, alone), _string("")).to_pylist()
+        for k, (group, found) in enumerate(zip(groups, self.encoded(groups), strict=True)):
+            ids, n = found.ids, min(TOGETHER, len(words) - k * TOGETHER)
+            if ids.count(self.feed_id) != n or self.added.search(group):  # an added token changes what stands around it
+                ids = []
+                for one in self.encoded(w[1:] for w in alone.slice(k * TOGETHER, n).to_pylist()):
+                    ids += [self.feed_id, *one.ids]
+            flat.extend(ids)
+        ids, lines = np.asarray(flat, "<u4"), lines.to_numpy(zero_copy_only=False)
+        feeds = np.flatnonzero(ids == self.feed_id)
+        ends = np.cumsum(np.diff(np.r_[feeds, len(ids)]) - ~lines)  # a word after a space hasn't got the line feed
+        return binaries(np.delete(ids, feeds[~lines]), np.r_[0, ends] * 4)
+
+    def __call__(self, texts: list[str] | pa.Array) -> list[bytes]:
         """The ids of each text."""
         if not self.apart:
-            return self.plain(texts)
-        late, old = self.known
-        if len(late) > REMEMBERED:
-            late, old = {}, late
-            self.known[:] = late, old
+            return self.plain(texts.to_pylist() if isinstance(texts, pa.Array) else texts)
+        texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        together = pc.match_substring_regex(texts, _TOGETHER)
+        parts = iter(self.by_words(texts.filter(pc.invert(together))))
+        whole = list(dict.fromkeys(texts.filter(together).to_pylist()))
+        found = dict(zip(whole, self.plain(whole), strict=True))
+        return [found[t.as_py()] if w else next(parts) for w, t in zip(together.to_pylist(), texts, strict=True)] if whole else list(parts)
+
+    def by_words(self, texts: pa.LargeStringArray) -> list[bytes]:
+        """The ids of texts that can be taken apart."""
         # A word stands for itself after a space, or with a line feed for itself after that; a text's first has a line feed that is taken off again.
-        whole, parts, new = {}, {}, set()
-        for t in texts:
-            if t not in whole and t not in parts:
-                if _TOGETHER.search(t) or not t or t[0].isspace():
-                    whole[t] = b""
-                else:
-                    p = ("\n" + t.replace("\n", " \n")).split(" ")
-                    found = list(map(late.get, p))
-                    parts[t] = p, found
-                    if None in found:
-                        new.update([w for w, ids in zip(p, found, strict=True) if ids is None])
-        if whole:
-            whole = dict(zip(whole, self.plain(list(whole)), strict=True))
-        asked, marked = {}, []
-        for w in new:
-            ids = old.get(w)
-            if ids is None:
-                m = _MARKED.fullmatch(w) if w[-1:] in self.marks else None
-                if m:
-                    core, mark = m.groups()
-                    marked.append((w, core, mark))
-                    if core not in late and core not in asked:
-                        if core in old:
-                            late[core] = old[core]
-                        else:
-                            asked[core] = None
-                else:
-                    asked[w] = None
-            else:
-                late[w] = ids
-        for w, ids in zip(asked, self.units([w[1:] if w[0] == "\n" else " " + w for w in asked]), strict=True):
-            late[w] = self.feed + ids if w[0] == "\n" else ids
-        for w, core, mark in marked:
-            late[w] = late[core] + self.marks[mark]
-        out = {t: b"".join([late[w] if ids is None else ids for w, ids in zip(p, found, strict=True)])[4:] for t, (p, found) in parts.items()} | whole
-        for w in asked:
-            if len(w) > LONGEST:
-                del late[w]
-        return [out[t] for t in texts]
+        words = pc.split_pattern(pc.binary_join_element_wise(_string("\n"), pc.replace_substring(texts, "\n", " \n"), _string("")), " ")
+        at, all_words = looked_up(self.words, words.flatten())
+        all_words, all_ids = self.with_ids(all_words)
+        self.remember(all_words, all_ids, at)
+        flat = all_ids.take(pa.array(at))
+        edges = np.frombuffer(flat.buffers()[1], np.int64)[np.r_[0, words.value_lengths().to_numpy().cumsum()]].tolist() if len(flat) else []
+        raw = memoryview(flat.buffers()[2]) if edges else b""
+        return [bytes(raw[a + 4 : b]) for a, b in zip(edges, edges[1:], strict=False)]
+
+    def with_ids(self, words: pa.LargeStringArray) -> tuple[pa.LargeStringArray, pa.LargeBinaryArray]:
+        """The remembered words and new ones after them, perhaps more, with the ids of all. Letters and the marks after them are asked apart."""
+        n, new = len(self.words), words.slice(len(self.words))
+        parts = pc.extract_regex(new, _MARKED)
+        marked = parts.is_valid().to_numpy(zero_copy_only=False) & self.marks_apart
+        if not marked.any():
+            return words, pa.concat_arrays([self.ids, self.asked(new)])
+        cores, marks = (parts.field(k).filter(pa.array(marked)) for k in ("core", "marks"))
+        at, words = looked_up(words, cores)
+        plain = np.r_[np.ones(n, bool), ~marked, np.ones(len(words) - n - len(new), bool)]  # these have ids of their own
+        own = pa.concat_arrays([self.ids, self.asked(words.filter(pa.array(plain)).slice(n))])
+        marks = marks.dictionary_encode()
+        after = pa.array(self.plain(marks.dictionary.to_pylist()), pa.large_binary()).take(marks.indices)
+        both = pc.binary_join_element_wise(own.take(pa.array((np.cumsum(plain) - 1)[at])), after, pa.scalar(b"", pa.large_binary()))
+        place = np.empty(len(words), np.int64)
+        place[plain], place[~plain] = np.arange(len(own)), np.arange(len(own), len(words))
+        return words, pa.concat_arrays([own, both]).take(pa.array(place))
+
+    def remember(self, words: pa.LargeStringArray, ids: pa.LargeBinaryArray, at: np.ndarray) -> None:
+        """Keep words with their ids, those at `at` as the latest, but for long ones."""
+        self.now += 1
+        used = np.r_[self.used, np.zeros(len(words) - len(self.used), np.int64)]
+        used[at] = self.now
+        keep = np.flatnonzero(pc.binary_length(words).to_numpy() <= LONGEST)
+        if len(keep) > 2 * REMEMBERED:
+            keep = np.sort(keep[np.argsort(-used[keep], kind="stable")[:REMEMBERED]])
+        self.words, self.ids, self.used = words.take(pa.array(keep)), ids.take(pa.array(keep)), used[keep]
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(json_text: str, run: str) -> Encoder:
+    """A worker's encoder, which its next task of the same run finds with all that it remembers; another run begins with nothing."""
+    return Encoder(json_text)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches as large as max_bytes of the column allow, or as they come."""
+    held, total = [], 0
+    for b in batches:
+        n = b.column(column).nbytes
+        if held and total + n > max_bytes:
+            yield pa.concat_batches(held)
+            held, total = [], 0
+        held.append(b)
+        total += n
+    if held:
+        yield pa.concat_batches(held)
 
 
 SEGMENTS = "part int, segment long, n_tokens long, doc_ids array<{id}>, ends array<long>, codes binary"
@@ -269,10 +330,10 @@ def encode_table(docs: DataFrame, tokenizer: str = TOKENIZER, end: int | None =
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("_h", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    tail = b"" if end is None else struct.pack("<I", end)
+    tail, run = b"" if end is None else struct.pack("<I", end), uuid.uuid4().hex
 
     def work(batches: Iterator[pa.RecordBatch]):
-        encoder, part, seg = Encoder(shared.value), TaskContext.get().partitionId(), 0
+        encode_texts, part, seg = encoder(shared.value, run), TaskContext.get().partitionId(), 0
         ids, texts, size, id_type = [], [], 0, None
 
         def full():
@@ -283,9 +344,9 @@ def encode_table(docs: DataFrame, tokenizer: str = TOKENIZER, end: int | None =
                 names=["part", "segment", "n_tokens", "doc_ids", "ends", "codes"],
             )
 
-        for b in slices(batches, "text", 1 << 20):
+        for b in gathered(batches, "text", LOOKED_UP):
             id_type = b.column("doc_id").type
-            for i, t in zip(b.column("doc_id").to_pylist(), encoder(b.column("text").to_pylist()), strict=True):
+            for i, t in zip(b.column("doc_id").to_pylist(), encode_texts(b.column("text")), strict=True):
                 t += tail
                 if ids and size + len(t) > segment * 4:
                     yield full()

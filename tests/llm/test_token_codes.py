@@ -117,3 +117,77 @@ def test_documents_are_read_in_ranges(spark, odd, odd_rows, monkeypatch):
         found.append(sorted((r.start, r.n_tokens, repr(r.doc_id), bytes(r.ids)) for r in token_codes.documents(segments).collect()))
     assert found[0] == found[1] == found[2] and len(found[0]) == len(odd_rows)
     assert all(len(ids) == 4 * n for _, n, _, ids in found[0])
+
+
+class Counted:
+    """A tokenizer that notes what it is asked."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.asked = tokenizer, []
+
+    def encode_batch_fast(self, texts, **k):
+        self.asked += texts
+        return self.tokenizer.encode_batch_fast(texts, **k)
+
+
+def test_the_library_is_asked_once_for_a_word():
+    """Marks in a row stand apart from their word, and the next task of a worker finds tokenizer and words, but another run doesn't."""
+    text = open(TOKENIZER).read()
+    e = token_codes.encoder(text, "a")
+    assert token_codes.encoder("".join(list(text)), "a") is e
+    texts = ["Zorblat quimfex\nZorblat", "quimfex,### zorblat!! Zorblat.%%%", "Quimfex* quimfex"]
+    want = e.plain(texts)
+    counted = e.tokenizer = Counted(e.tokenizer)
+    try:
+        assert e(texts[:1]) + e(texts[1:]) == want
+        asked = " ".join(counted.asked).split()
+        assert sorted(w for w in asked if w[0].isalpha()) == ["Quimfex", "Zorblat", "Zorblat", "quimfex", "quimfex", "zorblat"]  # two after a space and at a line's start
+        counted.asked.clear()
+        assert e(texts) == want and not any(counted.asked)
+    finally:
+        e.tokenizer = counted.tokenizer
+    assert token_codes.encoder(text, "b") is not e and not len(token_codes.encoder(text, "b").words)
+
+
+def test_white_space_is_pythons():
+    """All code points, before a letter and after it: what Python or the library may take for white space keeps a text whole."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for texts in ([c + "a" for c in points], ["a" + c for c in points], ["a" + c + " a" for c in points]):
+        found = pc.match_substring_regex(pa.array(texts), token_codes._TOGETHER).to_pylist()
+        assert found == [c.isspace() for c in points]
+
+
+def test_words_are_forgotten_and_asked_again(monkeypatch):
+    monkeypatch.setattr(token_codes, "REMEMBERED", 20)
+    monkeypatch.setattr(token_codes, "TOGETHER", 7)
+    monkeypatch.setattr(token_codes, "ASKED", 50)
+    e, rng = Encoder(open(TOKENIZER).read()), random.Random(5)
+    bits = ["a", "Be", "é", "ñu", "1", "###", ".", ",$$$", "'s", "'", "!!", "x" * 60, "日", "<|endoftext|>", "endoftext|>", "\x00"]
+    for _ in range(40):
+        texts = [rng.choice([" ", "\n"]).join("".join(rng.choice(bits) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 12))) for _ in range(20)]
+        texts += ["", "a  b", " a", "a "]
+        assert e(texts) == e.plain(texts)
+        assert len(e.words) == len(e.ids) == len(e.used) <= 40 and len(set(e.words.to_pylist())) == len(e.words)
+    assert e([]) == [] and e([""]) == [b""] and e(["日"]) == e.plain(["日"])
+
+
+@pytest.mark.parametrize("added", ["##", "a#", "b", "#a", "<x>", "\U0001f600."])
+def test_added_tokens_inside_words(added):
+    t, rng = Tokenizer.from_file(TOKENIZER), random.Random(7)
+    t.add_tokens([added])
+    e = Encoder(t.to_str())
+    assert e.apart
+    texts = [" ".join("".join(rng.choice(["a", "b", "#", "##", ".", "<", "x>", "\U0001f600"]) for _ in range(rng.randint(1, 5))) for _ in range(8)) for _ in range(300)]
+    assert e(texts) == e.plain(texts)
+
+
+def test_batches_are_gathered():
+    import pyarrow as pa
+
+    rows = [pa.RecordBatch.from_pydict({"text": ["x" * n, None]}) for n in (10, 3000, 20, 30, 40)]
+    out = list(token_codes.gathered(iter(rows), "text", 400))
+    assert [b.num_rows for b in out] == [2, 2, 6] and sum((b.to_pylist() for b in out), []) == sum((b.to_pylist() for b in rows), [])
+    assert list(token_codes.gathered(iter([]), "text", 400)) == []
