@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import tidied
 from .common import map_arrow, table, written
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -357,7 +358,8 @@ def encode_table(docs: DataFrame, tokenizer: str = TOKENIZER, end: int | None =
         if ids:
             yield full()
 
-    return written(map_arrow(rows, work, SEGMENTS.format(id=kind)))
+    with tidied(docs.sparkSession):
+        return written(map_arrow(rows, work, SEGMENTS.format(id=kind)))
 
 
 def placed(segments: DataFrame) -> DataFrame:

@@ -1,7 +1,10 @@
 """Directly addressable codes against plain lists, words against whole texts, segments against brute force."""
 
+import glob
 import os
 import random
+import tempfile
+import time
 import zlib
 
 import numpy as np
@@ -191,3 +194,17 @@ def test_batches_are_gathered():
     out = list(token_codes.gathered(iter(rows), "text", 400))
     assert [b.num_rows for b in out] == [2, 2, 6] and sum((b.to_pylist() for b in out), []) == sum((b.to_pylist() for b in rows), [])
     assert list(token_codes.gathered(iter([]), "text", 400)) == []
+
+
+def test_segments_leave_no_shuffle_files(spark, odd):
+    """The shuffle that orders the texts is as large as they are; the written segments are read instead."""
+    at = spark.sparkContext.getConf().get("spark.local.dir", tempfile.gettempdir())
+    shuffled = lambda: set(glob.glob(os.path.join(at, "**", "shuffle_*.data"), recursive=True))
+    before = shuffled()
+    token_codes.encode_table(odd, segment=500)
+    for _ in range(50):
+        left = shuffled() - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left
