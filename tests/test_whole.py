@@ -1,0 +1,25 @@
+"""Benchmarks do all of their work, or fail."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gleanery.operators import classifiers, fitting, trees
+from gleanery.plans import rows as row_queries
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, i % 3, (rng.normal(size=4) + 4 * np.eye(4)[i % 3]).tolist()) for i in range(60)], "id long, c int, v array<double>")
+    return df, df.select("id", (F.col("id") % 2).cast("int").alias("fold"))
+
+
+@pytest.mark.parametrize(("name", "module", "part"), [("naive_bayes", fitting, "fit"), ("decision_tree", trees, "forests"), ("gradient_boosting", trees, "boosted")])
+def test_a_model_that_fails_fails_the_job(small, monkeypatch, name, module, part):
+    def fails(*_, **__):
+        raise RuntimeError("out of disk")
+
+    monkeypatch.setattr(module, part, fails)
+    with pytest.raises(RuntimeError, match="out of disk"):
+        classifiers.cross_validated(*small, ("knn", name), 2, oversample=False)
