@@ -23,3 +23,17 @@ def test_a_model_that_fails_fails_the_job(small, monkeypatch, name, module, part
     monkeypatch.setattr(module, part, fails)
     with pytest.raises(RuntimeError, match="out of disk"):
         classifiers.cross_validated(*small, ("knn", name), 2, oversample=False)
+
+
+@pytest.mark.parametrize("query", ["benchmark_models", "judged_texts"])
+def test_benchmarks_grow_all_trees_and_rounds(spark, data, monkeypatch, query):
+    """As many as the reference's models have: 200 and 150."""
+    asked = []
+
+    def watched(table, test, names, classes, n_folds, n_trees, rounds, one_set=False):
+        asked.append((n_trees, rounds))
+        return test.select(F.lit("m").alias("model"), "fold", "id", "c", F.col("c").alias("predicted"))
+
+    monkeypatch.setattr(classifiers, "out_of_fold", watched)
+    getattr(row_queries, query)(spark, data)
+    assert asked == [(200, 150)]
