@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleanery.operators import classifiers, fitting, trees
+from gleanery.operators import alone, classifiers, fitting, trees
 from gleanery.plans import rows as row_queries
 
 
@@ -15,7 +15,7 @@ def small(spark):
     return df, df.select("id", (F.col("id") % 2).cast("int").alias("fold"))
 
 
-@pytest.mark.parametrize(("name", "module", "part"), [("naive_bayes", fitting, "fit"), ("decision_tree", trees, "forests"), ("gradient_boosting", trees, "boosted")])
+@pytest.mark.parametrize(("name", "module", "part"), [("naive_bayes", fitting, "fit"), ("decision_tree", alone, "forests"), ("gradient_boosting", alone, "boosted")])
 def test_a_model_that_fails_fails_the_job(small, monkeypatch, name, module, part):
     def fails(*_, **__):
         raise RuntimeError("out of disk")
@@ -37,3 +37,31 @@ def test_benchmarks_grow_all_trees_and_rounds(spark, data, monkeypatch, query):
     monkeypatch.setattr(classifiers, "out_of_fold", watched)
     getattr(row_queries, query)(spark, data)
     assert asked == [(200, 150)]
+
+
+def test_sets_that_fit_a_task_give_the_models_of_passes(spark):
+    """Trees are equal; solvers end at the same point and boosted leaves have the same steps but for the order of additions."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(160):
+        v = rng.normal(size=9) * (rng.random(9) < 0.5) + np.eye(9)[i % 3]
+        rows.append((i, i % 3, i % 4 if i < 150 else None, None if i < 150 else i % 4, v.tolist()))
+    table = classifiers.kept(spark.createDataFrame(rows, "id long, c int, fold int, only int, v array<double>").repartition(3))
+    sums = fitting.ClassSums(table, 9, 3, 4)
+    prior, bins = {k: sums.of(k)[:, 0] for k in range(4)}, trees.Bins.fit(table, 4)
+    for n, bagged in ((1, False), (5, True)):
+        one, two = (own.forests(table if own is alone else trees.coded(table, bins, 4), prior, bins, 4, 3, 9, n, 6, bagged) for own in (alone, trees))
+        assert all(np.array_equal(a, b) for k in range(4) for a, b in zip(one[k].arrays, two[k].arrays, strict=True))
+    one, two = (own.boosted(table, prior, bins, 4, 3, 9, 6) for own in (alone, trees))
+    assert all(np.allclose(a, b) for k in range(4) for a, b in zip(one[k].arrays, two[k].arrays, strict=True))
+    losses, sizes = {"a": fitting.Softmax(9, 3), "b": fitting.KernelHinge([fitting.Kernel.fit(x, 20) for x in fitting.sampled(table, 4)], 3)}, [sums.size(k) for k in range(4)]
+    one, two = alone.descend(table, losses, sizes, 9, 1e-7), fitting.descend(table, losses, sizes, 1e-7)[0]
+    assert one.keys() == two.keys() and all(np.abs(one[key] - two[key]).max() < 1e-4 for key in one)
+
+
+def test_small_sets_take_no_pass_a_round(small, monkeypatch):
+    """A pass a level and round is what made small benchmarks slow."""
+    for module, name in ((trees, "level"), (fitting, "descend")):
+        monkeypatch.setattr(module, name, lambda *_, **__: pytest.fail("a pass"))
+    out = classifiers.cross_validated(*small, ("random_forest", "gradient_boosting", "decision_tree", "logistic_regression", "rbf_svc"), 2, oversample=False, n_trees=3, rounds=3).collect()
+    assert len(out) == 300 and np.mean([r.c == r.predicted for r in out]) > 0.8
