@@ -65,3 +65,32 @@ def test_small_sets_take_no_pass_a_round(small, monkeypatch):
         monkeypatch.setattr(module, name, lambda *_, **__: pytest.fail("a pass"))
     out = classifiers.cross_validated(*small, ("random_forest", "gradient_boosting", "decision_tree", "logistic_regression", "rbf_svc"), 2, oversample=False, n_trees=3, rounds=3).collect()
     assert len(out) == 300 and np.mean([r.c == r.predicted for r in out]) > 0.8
+
+
+def test_vectors_are_made_inside_the_row(spark, data, duck, same, monkeypatch):
+    """Counts by document are neither written nor shuffled for blocks of vectors, and results are SQL's."""
+    from gleanery.operators import vectors
+    from gleanery.plans import texts
+
+    def never(*_, **__):
+        pytest.fail("counts by document")
+
+    monkeypatch.setattr(vectors, "fitted", never)
+    monkeypatch.setattr(vectors, "tfidf", never)
+    for name in ("document_cosine", "cosine_links"):
+        query, sql = texts.QUERIES[name]
+        same(query(spark, data), duck, sql)
+
+
+def test_documents_that_share_an_id_count_as_one(spark, tmp_path, same):
+    import duckdb
+
+    from gleanery.plans import texts
+
+    words = ["uno dos tres", "uno dos", "dos tres cuatro", "uno tres", "cuatro cinco", "uno cinco dos"]
+    rows = [(i // 2 * 50 if i % 3 else i, words[i % 6] + " " + words[i % 5], "ab"[i % 2]) for i in range(24)] + [(None, "uno dos", "a"), (None, "dos tres", "a")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    duck = duckdb.connect()
+    duck.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    query, sql = texts.QUERIES["document_cosine"]
+    same(query(spark, str(tmp_path)), duck, sql)
