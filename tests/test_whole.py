@@ -94,3 +94,19 @@ def test_documents_that_share_an_id_count_as_one(spark, tmp_path, same):
     duck.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     query, sql = texts.QUERIES["document_cosine"]
     same(query(spark, str(tmp_path)), duck, sql)
+
+
+def test_no_query_travels_for_a_tile(spark):
+    """Vectors without structure: every tile is compared, and vectors meet where their blocks are read."""
+    from gleanery.operators import neighbours
+
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, 0, rng.normal(size=16).tolist()) for i in range(900)], "id long, cls int, v array<double>")
+    met = neighbours.compare(df, df, 3, True, block=100)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "FlatMapCoGroups" not in plan
+    assert met.where("qid is not null").groupBy("qid").count().agg(F.max("count")).first()[0] < 40
+    got = {(r.qid, r.id) for r in neighbours.nearest(df, df, 3, True, block=100).collect()}
+    v = np.array([r.v for r in df.orderBy("id").collect()])
+    d = np.sqrt(((v[:, None] - v) ** 2).sum(2)) + 1e9 * np.eye(900)
+    assert got == {(i, int(j)) for i in range(900) for j in np.argsort(d[i])[:3]}
