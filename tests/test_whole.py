@@ -110,3 +110,11 @@ def test_no_query_travels_for_a_tile(spark):
     v = np.array([r.v for r in df.orderBy("id").collect()])
     d = np.sqrt(((v[:, None] - v) ** 2).sum(2)) + 1e9 * np.eye(900)
     assert got == {(i, int(j)) for i in range(900) for j in np.argsort(d[i])[:3]}
+
+
+def test_a_tree_ends_where_no_cut_helps():
+    t = alone.class_tree(np.zeros((6, 2), np.uint8), np.arange(6) % 2, np.ones(6), 0, 0, 2, 0, 5)
+    assert t.feature.tolist() == [-1]
+    codes = np.repeat(np.arange(2, dtype=np.uint8), 4)[:, None]
+    t = alone.class_tree(codes, np.array([0, 1, 0, 1, 1, 1, 1, 1]), np.ones(8), 0, 0, 2, 0, 5)
+    assert t.feature.tolist() == [0, -1, -1] and t.sums[1:].tolist() == [[2, 2], [0, 4]]
